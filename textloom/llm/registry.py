@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import op9_mixing
+from . import op1_simhash, op9_mixing
 
 
 def queries():
-    return {"op9_mixing": op9_mixing.op9_mixing}
+    return {"op1_simhash": op1_simhash.op1_simhash, "op9_mixing": op9_mixing.op9_mixing}
 
 
 def oracle_sql():
