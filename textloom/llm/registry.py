@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_simhash, op9_mixing
+from . import op1_simhash, op2_substring, op7_lines, op9_mixing
 
 
 def queries():
-    return {"op1_simhash": op1_simhash.op1_simhash, "op9_mixing": op9_mixing.op9_mixing}
+    return {
+        "op1_simhash": op1_simhash.op1_simhash,
+        "op2_substring": op2_substring.op2_substring,
+        "op7_lines": op7_lines.op7_lines,
+        "op9_mixing": op9_mixing.op9_mixing,
+    }
 
 
 def oracle_sql():
