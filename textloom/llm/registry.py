@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_simhash, op2_substring, op7_lines, op9_mixing
+from . import op1_simhash, op2_substring, op4_decontaminate, op7_lines, op9_mixing
 
 
 def queries():
     return {
         "op1_simhash": op1_simhash.op1_simhash,
         "op2_substring": op2_substring.op2_substring,
+        "op4_decontaminate": op4_decontaminate.op4_decontaminate,
         "op7_lines": op7_lines.op7_lines,
         "op9_mixing": op9_mixing.op9_mixing,
     }
