@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_simhash, op10_urls, op2_substring, op4_decontaminate, op5_html, op6_language, op7_lines, op8_neighbours, op9_mixing
+from . import op1_simhash, op10_urls, op2_substring, op3_secrets, op4_decontaminate, op5_html, op6_language, op7_lines, op8_neighbours, op9_mixing
 
 
 def queries():
     return {
         "op1_simhash": op1_simhash.op1_simhash,
         "op2_substring": op2_substring.op2_substring,
+        "op3_secrets": op3_secrets.op3_secrets,
         "op4_decontaminate": op4_decontaminate.op4_decontaminate,
         "op5_html": op5_html.op5_html,
         "op6_language": op6_language.op6_language,
