@@ -32,7 +32,7 @@ RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 ASSIGNED = rf"(?<=\b(?i:{NAMES})[\"']?\s?[:=]\s?[\"']?)[^\s\"']{{8,}}"
 HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 CANDIDATE = f"{RUN}|{ASSIGNED}|{HEADER}"
-MATCH = rf"((?:\S+[ \t]+){{0,3}}\S*?)({CANDIDATE})(?=(\S*(?:[ \t]+\S+){{0,2}}))"
+NEAR = 64  # characters of the line before and after a candidate
 
 FEATURES = (
     "length", "transitions", "digits", "uppers", "hex", "vowels", "distinct", "repeats", "coverage", "known_format",
@@ -44,9 +44,18 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> Da
     """doc_id, ordinal, path, before, value, after."""
     text = F.col(text_col)
     rows = docs.where(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
-    parts = [F.regexp_extract_all("text", F.lit(MATCH), F.lit(k)).alias(name) for k, name in ((1, "before"), (2, "value"), (3, "after"))]
-    zipped = rows.select("doc_id", "path", F.arrays_zip(*parts).alias("found"))
-    return zipped.select("doc_id", "path", F.posexplode("found").alias("ordinal", "f")).select("doc_id", "ordinal", "path", "f.before", "f.value", "f.after")
+    # what lies between the candidates is their neighbourhood: both scans are linear in the text,
+    # and bound to a lambda variable they run once a row
+    scanned = F.array(F.struct(F.split("text", CANDIDATE).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values")))
+
+    def zipped(s: Column) -> Column:
+        n = F.size(s["values"])
+        before = F.transform(F.slice(s["gaps"], 1, n), lambda x: F.regexp_extract(F.right(x, F.lit(NEAR)), r"([^\n]*)$", 1))
+        after = F.transform(F.slice(s["gaps"], 2, n), lambda x: F.regexp_extract(F.left(x, F.lit(NEAR)), r"^([^\n]*)", 1))
+        return F.arrays_zip(before.alias("before"), s["values"].alias("value"), after.alias("after"))
+
+    found = F.posexplode(F.flatten(F.transform(scanned, zipped))).alias("ordinal", "f")
+    return rows.select("doc_id", "path", found).select("doc_id", "ordinal", "path", "f.before", "f.value", "f.after")
 
 
 def dictionary(docs: DataFrame, text_col: str) -> DataFrame:
