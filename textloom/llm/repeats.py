@@ -12,14 +12,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, possible_members
 
 FLUSH = 50_000  # occurrences handed on at once by a worker
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th, text; the text hash tells apart rows that share an id."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, th, text, rest (the columns to carry); the text hash tells apart rows that share an id."""
+    rest = F.struct(F.lit(0).alias("_"), *carry).alias("rest")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), rest)
+
+
+def carried(carry: tuple[str, ...]) -> list[Column]:
+    return [F.col("rest").getField(c).alias(c) for c in carry]
 
 
 def occurrences(docs: DataFrame, pieces) -> DataFrame:
@@ -44,7 +49,7 @@ def occurrences(docs: DataFrame, pieces) -> DataFrame:
         if rows[0]:
             yield frame(*rows)
 
-    return longs(as_text(docs).mapInPandas(run, "h1 long, h2 long, id string, th long, a int, b int"))
+    return longs(as_text(docs.select("id", "th", "text")).mapInPandas(run, "h1 long, h2 long, id string, th long, a int, b int"))
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -70,7 +75,16 @@ def id_key() -> Column:
 
 
 def with_units(docs: DataFrame, units: DataFrame, how: str) -> DataFrame:
-    """docs with `units`, the list of structs of that document. A list is as long as its text at most."""
-    units = units.withColumnRenamed("id", "uid").withColumnRenamed("th", "uth")
+    """docs with the columns of `units`, lists of the same document's units; how: inner or left.
+
+    A list is as long as its text at most. Only documents that may have units are shuffled.
+    """
+    possible = possible_members(units.select(F.xxhash64(id_key(), "th").alias("k")))
+    mine = possible(F.xxhash64(id_key(), "th"))
+    lists = units.withColumnRenamed("id", "uid").withColumnRenamed("th", "uth")
     keys = (id_key() == F.coalesce("uid", F.lit(-(1 << 63)))) & (F.col("th") == F.col("uth"))
-    return docs.join(units, keys, how).drop("uid", "uth")
+    joined = docs.where(mine).join(lists, keys, how).drop("uid", "uth")
+    if how == "inner":
+        return joined
+    added = {f.name: F.lit(None).cast(f.dataType) for f in lists.schema if f.name not in ("uid", "uth")}
+    return joined.unionByName(docs.where(~mine).withColumns(added))
