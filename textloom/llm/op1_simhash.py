@@ -92,9 +92,11 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
         us.append(x)
         vs.append(y)
     u, v = np.concatenate(us), np.concatenate(vs)
-    if not same:
-        v = v + len(a)
-    nodes = a if same else np.concatenate((a, b))
+    return spanning_forest(u, v, a) if same else spanning_forest(u, v + len(a), np.concatenate((a, b)))
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes given by number -> as many links as nodes at most, with the same components."""
     if len(u) <= 2:
         return nodes[u], nodes[v]
     label = np.arange(len(nodes))
