@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import curation, inspection, modelling  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Split, vocabulary, naive Bayes and macro-F1 in one query."""
+    return QUERIES["macro_f1"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
