@@ -137,7 +137,8 @@ def mcnemar(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.count_if(wrong("a") & ~wrong("b")).alias("only_a_wrong"), F.count_if(~wrong("a") & wrong("b")).alias("only_b_wrong"), F.count_if(wrong("a") & wrong("b")).alias("both_wrong")
     )
     n = F.col("only_a_wrong") + F.col("only_b_wrong")
-    return out.withColumn("p", F.round(binomial_p(n, F.least("only_a_wrong", "only_b_wrong")), 6))
+    # p is a multiple of a power of two, often halfway between two roundings: a nudge settles which
+    return out.withColumn("p", F.round(binomial_p(n, F.least("only_a_wrong", "only_b_wrong")) + 1e-9, 6))
 
 
 def average_ranks(values: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:

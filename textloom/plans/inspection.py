@@ -275,7 +275,7 @@ _COUNTS = "count(*) FILTER (a <> label AND b = label) AS only_a_wrong, count(*)
 @query("mcnemar", f"""{_LONG}, bs AS (SELECT doc_id, pred AS b FROM lg WHERE model = 'small'), mv AS (SELECT doc_id, label, pred FROM (SELECT doc_id, label, pred, count(*) AS n FROM lg WHERE model = 'full' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pred) = 1),
 pp AS (SELECT seed::VARCHAR AS seed, doc_id, label, pred AS a FROM lg WHERE model = 'full' UNION ALL SELECT 'majority', doc_id, label, pred FROM mv), c AS (SELECT seed, {_COUNTS} FROM pp JOIN bs USING (doc_id) GROUP BY seed),
 n AS (SELECT *, only_a_wrong + only_b_wrong AS n, least(only_a_wrong, only_b_wrong) AS k FROM c)
-SELECT seed, only_a_wrong, only_b_wrong, both_wrong, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 6) AS p FROM n""")
+SELECT seed, only_a_wrong, only_b_wrong, both_wrong, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END + 1e-9, 6) AS p FROM n""")
 def mcnemar(spark, d):
     rows_ = oof_long(spark, d)
     return errors.agreement(rows_.where("model = 'full'"), rows_.where("model = 'small'"))
