@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import math
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,33 +61,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: A membership filter has at most 2 ** FILTER_BITS bits (4 MB), whatever the number of keys.
-FILTER_BITS = 25
+#: Keys that are broadcast at most: two longs each, some tens of MB in all.
+BROADCAST_KEYS = 1_000_000
 
 
-def possible_members(keys: DataFrame, name: str = "k"):
-    """A predicate on a hash column: false only for what is surely none of the keys.
+def counted(keys: DataFrame) -> DataFrame:
+    """The keys, marked for broadcast if they were counted to be few; else Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
-    A Bloom filter of ten bits a key, up to the bound; beyond it more rows pass, and none is lost.
-    It spares rows that a join would not match from being shuffled. The keys must be hashes.
-    """
-    spark = keys.sparkSession
-    n = keys.count()
-    bits = min(FILTER_BITS, max(13, math.ceil(math.log2(10 * n + 1))))
-    mask = (1 << bits) - 1
-    places = F.explode(F.array(*(F.expr(f"shiftrightunsigned({name}, {s}) & {mask}L") for s in (0, 20, 39)))).alias("p")
-    words = keys.select(places).groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("v"))
-    bitmap = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    rows = words.toPandas()
-    bitmap[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def possible(k: pd.Series) -> pd.Series:
-        h, table, out = k.to_numpy().astype(np.int64).view(np.uint64), shared.value, True
-        for s in (0, 20, 39):
-            p = (h >> np.uint64(s)) & np.uint64(mask)
-            out = out & ((table[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
-        return pd.Series(out)
-
-    return possible
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: idle workers live on beside the next stage's."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """A worker function over batches that gives back memory after each of them."""
+
+    def fed(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    return lambda batches: run(fed(batches))

@@ -3,9 +3,9 @@
 The same tiled, exact comparison as in op1_simhash, with a fingerprint of 128 bits over five-word
 shingles, so that similarities down to 0.8 are told from chance. Two sets of shingles that are
 0.8 alike differ by a quarter in size at most, so tiles are laid out by shingle count (bands of a
-factor of 1 / SIMILARITY) and population count, and only neighbouring tiles are compared. Linked
-documents are then compared shingle by shingle with the document that would stay in their stead:
-only those at least SIMILARITY alike go, so a chain of links removes nothing by itself.
+factor of 1 / SIMILARITY) and population count, and only neighbouring tiles are compared. A text's
+NEAREST links in each pair of tiles are then compared shingle by shingle; those at least
+SIMILARITY alike make the groups. So a group costs rows in proportion to its members.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, possible_members
+from .common import Scratch, counted, lean
 from .components import stars
-from .op1_simhash import BITS_AT_ONCE, TILE, spanning_forest
+from .op1_simhash import BITS_AT_ONCE, TILE
 from .repeats import as_text, keyed, longs
 
 WIDTH, SIMILARITY = 5, 0.8
 RADIUS = 24  # of 128 bits; texts 0.8 alike differ in 19, unrelated ones in 64 on average
+NEAREST = 3  # links of a text that are verified, in each pair of tiles
 POPULATION = 8  # population counts are laid out in groups of this width
 
 
@@ -62,26 +63,34 @@ def prints(rows: DataFrame, width: int) -> DataFrame:
             f = np.array([wide_fingerprint(x, width) for x in pdf["text"]], dtype=np.int64).reshape(-1, 4)
             yield pd.DataFrame({"id": pdf["id"], "th": pdf["th"], "t": f[:, 3], "f1": f[:, 0], "f2": f[:, 1], "n": f[:, 2]})
 
-    return longs(as_text(rows.select("id", "th", "text")).mapInPandas(run, "id string, th long, t long, f1 long, f2 long, n long"))
+    return longs(as_text(rows.select("id", "th", "text")).mapInPandas(lean(run), "id string, th long, t long, f1 long, f2 long, n long"))
 
 
 def _pair_links(a: dict, b: dict, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the links between two tiles; the first words alone rule out most pairs."""
-    xs, ys = [], []
+    """The nearest links of every text between two tiles; the first words alone rule out most pairs."""
+    xs, ys, ds = [], [], []
     for i in range(0, len(a["t"]), 128):
         first = np.bitwise_count(a["f1"][i : i + 128, None] ^ b["f1"][None, :])
         x, y = np.nonzero(first <= radius)
-        rest = np.bitwise_count(a["f2"][i + x] ^ b["f2"][y])
-        near = first[x, y].astype(np.int16) + rest <= radius
+        d = first[x, y].astype(np.int16) + np.bitwise_count(a["f2"][i + x] ^ b["f2"][y])
+        near = d <= radius
         if same:
-            near &= i + x < y
+            near &= i + x != y
         xs.append(i + x[near])
         ys.append(y[near])
-    return np.concatenate(xs), np.concatenate(ys)
+        ds.append(d[near])
+    x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
+    chosen = np.zeros(len(x), dtype=bool)
+    for one, other in ((x, y), (y, x)):
+        order = np.lexsort((other, d, one))
+        starts = np.flatnonzero(np.diff(one[order], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        chosen[order[rank < NEAREST]] = True
+    return a["t"][x[chosen]], b["t"][y[chosen]]
 
 
 def wide_links(classes: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """classes (t, f1, f2, n) -> rows (u, v) that connect what is linked within the radius."""
+    """classes (t, f1, f2, n) -> rows u < v: the nearest links within the radius."""
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     group = F.floor((F.bit_count("f1") + F.bit_count("f2")) / POPULATION).cast("int")
     keyed_ = classes.select("t", "f1", "f2", band.alias("band"), group.alias("pop"))
@@ -109,79 +118,64 @@ def wide_links(classes: DataFrame, radius: int, similarity: float, scratch: Scra
                 ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
                 sides.append([{k: v[s:e] for k, v in columns.items()} for s, e in zip(ends[:-1], ends[1:], strict=True)])
             for a, b, same in zip(*sides, batch.column("same").to_pylist(), strict=True):
-                x, y = _pair_links(a, b, same, radius)
-                if len(x):
-                    u, v = spanning_forest(x, y if same else y + len(a["t"]), a["t"] if same else np.concatenate((a["t"], b["t"])))
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+                u, v = (side.view(np.int64) for side in _pair_links(a, b, same, radius))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def _shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """t, shingles: the distinct shingle hashes of one text of each wanted class (t, th)."""
     wanted = wanted.withColumnRenamed("th", "wth")
-    possible = possible_members(wanted.select(F.xxhash64("wth").alias("k")))
-    texts = rows.select("th", "text").where(possible(F.xxhash64("th")))
 
-    @F.pandas_udf("array<long>")
-    def sets(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, width)[:, :8].copy().view(np.int64).reshape(-1)) for t in text])
+    def run(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):  # a set is as large as its text, so few are held at once
+                part = pdf.iloc[i : i + 256]
+                sets = [np.unique(shingle_hashes(t, width)[:, :8].copy().view(np.int64).reshape(-1)) for t in part["text"]]
+                yield pd.DataFrame({"t": part["t"].to_numpy(), "shingles": sets})
 
-    joined = texts.join(wanted, F.col("th") == F.col("wth"))
+    joined = rows.select("th", "text").join(counted(wanted), F.col("th") == F.col("wth"))
     # texts that are copies of one another are read once
-    return joined.groupBy("t").agg(F.first("text").alias("text")).select("t", sets("text").alias("shingles"))
+    return joined.groupBy("t").agg(F.first("text").alias("text")).mapInPandas(lean(run), "t long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents to remove: id, th (xxhash64 of the text), kept_id.
 
-    kept_id is the document that stays in its stead: one with the same words, or one whose shingles
-    are at least `similarity` alike. A text of fewer words than a shingle is one shingle; texts
-    without words are alike. Of a group the least id stays, a null id before all; rows equal in id
-    and text are one document and stay or go together. Texts of any length are read whole. An empty
-    table gives an empty result. Other columns are ignored.
+    kept_id is the document that stays in their stead: the least id of the group, a null id before
+    all. Texts with the same words are alike whatever their case and white space; a text of fewer
+    words than a shingle is one shingle; texts without words are alike. Rows equal in id and text
+    are one document and stay or go together. Texts of any length are read whole. An empty table
+    gives an empty result. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = keyed(docs, id_col, text_col)
     found = scratch.write(prints(rows, width), "prints")
     by_words = found.groupBy("t").agg(F.min(F.struct("id", "th")).alias("rep"), *(F.first(c).alias(c) for c in ("f1", "f2", "n")))
     classes = scratch.write(by_words, "classes")
-    linked = stars(wide_links(classes, radius, similarity, scratch), scratch)
-    groups = scratch.write(linked.select("node", "root").unionAll(linked.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    members = groups.join(classes, groups.node == classes.t).select("t", "root", "rep", "n")
-    left = scratch.write(members, "left-0")
-    sets = scratch.write(_shingle_sets(rows, left.select("t", F.col("rep.th").alias("th")), width), "sets")
-    gone, k = [], 0
-    while left.limit(1).count():
-        leaders = scratch.write(left.groupBy("root").agg(F.min(F.struct("rep", "t", "n")).alias("leader")), f"leaders-{k}")
-        rest = scratch.write(left.join(leaders, "root").where("t <> leader.t").select("t", "root", "rep", "n", F.col("leader.t").alias("lt"), F.col("leader.rep.id").alias("kept_id")), f"rest-{k}")
-        mine = rest.join(sets.withColumnRenamed("shingles", "a"), "t")
-        both = mine.join(sets.select(F.col("t").alias("lt"), F.col("shingles").alias("b")), "lt")
-        shared = F.size(F.array_intersect("a", "b"))
-        alike = F.coalesce(shared / (F.size("a") + F.size("b") - shared), F.lit(1.0)) >= similarity
-        judged = scratch.write(both.select("t", "root", "rep", "n", "kept_id", alike.alias("alike")), f"judged-{k}")
-        gone.append(judged.where("alike").select("t", "kept_id"))
-        k += 1
-        left = judged.where("not alike").select("t", "root", "rep", "n")
-    verified = None
-    for part in gone:
-        verified = part if verified is None else verified.unionAll(part)
-    if verified is None:
-        verified = classes.where("false").select("t", F.col("rep.id").alias("kept_id"))
-    status = classes.select("t", "rep").join(verified.withColumnRenamed("t", "vt"), F.col("t") == F.col("vt"), "left")
-    status = scratch.write(status.select("t", "rep", F.col("vt").isNotNull().alias("drop"), "kept_id"), "status")
-    every = found.select("id", "th", "t").join(status, "t")
-    is_rep = F.struct("id", "th").eqNullSafe(F.col("rep"))
-    kept = F.when(F.col("drop"), F.col("kept_id")).otherwise(F.col("rep.id"))
-    return every.where(F.col("drop") | ~is_rep).select("id", "th", kept.alias("kept_id")).distinct()
+    links = scratch.write(wide_links(classes, radius, similarity, scratch), "links")
+    linked = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).distinct()
+    wanted = scratch.write(linked.join(classes, linked.node == classes.t).select("t", F.col("rep.th").alias("th")), "wanted")
+    sets = scratch.write(_shingle_sets(rows, wanted, width), "sets")
+    first = links.join(sets.select(F.col("t").alias("u"), F.col("shingles").alias("a")), "u")
+    both = first.join(sets.select(F.col("t").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    roots = stars(scratch.write(alike, "alike"), scratch)
+    status = classes.select("t", "rep").join(roots, F.col("t") == F.col("node"), "left")
+    status = scratch.write(status.select("t", "rep", F.coalesce("root", "t").alias("root")), "status")
+    least = scratch.write(status.groupBy("root").agg(F.min("rep").alias("kept")), "least")
+    kept = scratch.write(status.join(least, "root").select("t", "kept"), "kept")
+    every = found.select("id", "th", "t").join(kept, "t")
+    gone = every.where(~F.struct("id", "th").eqNullSafe(F.col("kept")))
+    return gone.select("id", "th", F.col("kept.id").alias("kept_id")).distinct()
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose (id, xxhash64 of the text) is in `gone`; only rows that may be are shuffled."""
+    """docs without the rows whose (id, xxhash64 of the text) is in `gone`."""
     null = F.lit(-(1 << 63))
     gone = gone.select(F.coalesce(F.col("id").cast("long"), null).alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    mine, th = F.coalesce(F.col(id_col).cast("long"), null), F.xxhash64(F.col(text_col))
-    possible = possible_members(gone.select(F.xxhash64("gone_id", "gone_th").alias("k")))
-    maybe = possible(F.xxhash64(mine, th))
-    stay = docs.where(maybe).join(gone, (mine == F.col("gone_id")) & (th == F.col("gone_th")), "left_anti")
-    return stay.unionByName(docs.where(~maybe))
+    same = (F.coalesce(F.col(id_col).cast("long"), null) == F.col("gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("gone_th"))
+    return docs.join(counted(gone), same, "left_anti")

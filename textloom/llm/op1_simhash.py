@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, lean, read
 from .components import stars
 
 TILE = 2048
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([fingerprint(t, width, seed) for t in pdf["text"]], dtype=np.int64)})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInPandas(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _quarter(k: int) -> Column:
@@ -124,7 +124,7 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
                 u, v = (np.concatenate(side).view(np.int64) for side in zip(*found, strict=True))
                 yield pd.DataFrame({"u": u, "v": v})
 
-    return tile_pairs(fps, radius, scratch).mapInPandas(run, "u long, v long")
+    return tile_pairs(fps, radius, scratch).mapInPandas(lean(run), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, lean, read
 from .tokens import tokens
 
 #: The spaced seeds. No mask is the shift of another.
@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                         columns = [ids.take(d), ths.take(d), pa.array([block["ids"][x] for x in item], pa.string()), *(pa.array(x, pa.int32()) for x in (start, n, same, [len(block["words"][x]) for x in item]))]
                         yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "item", "start", "n_tokens", "n_matches", "item_tokens"])
 
-        found = found.unionAll(scratch.write(rows.mapInArrow(run, schema), f"block-{k}"))
+        found = found.unionAll(scratch.write(rows.mapInArrow(lean(run), schema), f"block-{k}"))
         shared.unpersist()
     kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
     return found.select(F.col("id").cast(kind[0]).alias("doc_id"), "th", F.col("item").cast(kind[1]).alias("item_id"), "start", "n_tokens", "n_matches", "item_tokens")

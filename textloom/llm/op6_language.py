@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, give_back, lean, read
 
 TRAIN_ROWS, LANDMARKS = 1600, 128
 RIDGE = 1e-3
@@ -72,7 +72,7 @@ def ngrams(df: DataFrame, shared) -> DataFrame:
             grams = [np.flatnonzero(flags).astype(np.int32) if present(t, codes, flags) else None for t in pdf["text"]]
             yield pd.DataFrame({"lang": pdf["lang"], "h": pdf["h"], "grams": grams}).dropna(subset=["grams"])
 
-    return df.select("lang", "h", "text").mapInPandas(run, "lang string, h long, grams array<int>")
+    return df.select("lang", "h", "text").mapInPandas(lean(run), "lang string, h long, grams array<int>")
 
 
 def training_texts(docs: DataFrame, rows: int, scratch: Scratch, shared) -> list:
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         found = score(shared.value, codes.value, text.tolist()) if shared.value else [(UNKNOWN, 0.0)] * len(text)
+        give_back()
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     out = rows.select("doc_id", "held_out", predict("text").alias("p"), "rest")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, possible_members
+from .common import Scratch, counted, lean
 
 FLUSH = 50_000  # occurrences handed on at once by a worker
 
@@ -49,7 +49,7 @@ def occurrences(docs: DataFrame, pieces) -> DataFrame:
         if rows[0]:
             yield frame(*rows)
 
-    return longs(as_text(docs.select("id", "th", "text")).mapInPandas(run, "h1 long, h2 long, id string, th long, a int, b int"))
+    return longs(as_text(docs.select("id", "th", "text")).mapInPandas(lean(run), "h1 long, h2 long, id string, th long, a int, b int"))
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -69,22 +69,15 @@ def repeated(found: DataFrame, scratch: Scratch) -> DataFrame:
     return found.join(counts, ["h1", "h2"]).select(*found.columns, here.eqNullSafe(F.col("least")).alias("first"))
 
 
-def id_key() -> Column:
-    """The id for an equi-join; a null id joins a null id."""
-    return F.coalesce("id", F.lit(-(1 << 63)))
+def with_units(docs: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that have units, with the columns of `units`; all others).
 
-
-def with_units(docs: DataFrame, units: DataFrame, how: str) -> DataFrame:
-    """docs with the columns of `units`, lists of the same document's units; how: inner or left.
-
-    A list is as long as its text at most. Only documents that may have units are shuffled.
+    units has one row a document, with lists as long as its text at most. If few documents have
+    any, their keys are broadcast and only their texts are shuffled.
     """
-    possible = possible_members(units.select(F.xxhash64(id_key(), "th").alias("k")))
-    mine = possible(F.xxhash64(id_key(), "th"))
-    lists = units.withColumnRenamed("id", "uid").withColumnRenamed("th", "uth")
-    keys = (id_key() == F.coalesce("uid", F.lit(-(1 << 63)))) & (F.col("th") == F.col("uth"))
-    joined = docs.where(mine).join(lists, keys, how).drop("uid", "uth")
-    if how == "inner":
-        return joined
-    added = {f.name: F.lit(None).cast(f.dataType) for f in lists.schema if f.name not in ("uid", "uth")}
-    return joined.unionByName(docs.where(~mine).withColumns(added))
+    null = F.lit(-(1 << 63))
+    mine = [F.coalesce("id", null) == F.col("uid"), F.col("th") == F.col("uth")]
+    lists = units.withColumn("uid", F.coalesce("id", null)).withColumnRenamed("th", "uth").drop("id")
+    keys = counted(lists.select("uid", "uth"))
+    near = docs.join(keys, mine, "left_semi").join(lists, mine).drop("uid", "uth")
+    return near, docs.join(keys, mine, "left_anti")
