@@ -3,8 +3,8 @@
 The block elements of all pages of a host are merged into one tree, whose nodes are told apart by
 their path of tags and classes. A leaf's importance falls with the entropy of its texts over the
 host's pages: what many pages share says little. An inner node's importance rises with the entropy
-of its presentation, the children it has on each page, and with that of its children. Hosts with
-few pages lean on the tree of all hosts. Branches of low importance are removed from each page, as
+of its presentation, the children it has on each page. Hosts with few pages lean on the tree of all
+hosts. Branches of low importance are removed from each page, as
 are elements that by name or role are no article: menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments.
 """
@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, lean, read
 from .op10_urls import host_and_path
 
 LOW, LOW_IN_ARTICLE = 0.5, 0.15  # branches of less importance are removed
-DECAY = 0.9  # weight of the children in a node's importance
+TEXTS = 0.9  # weight of a leaf's texts in its importance; the rest is its parent's presentation
 PRIOR = 3.0  # the tree of all hosts counts as so many pages of a host
 
 #: Element names and words of class names, as HTML and common usage have them.
@@ -174,7 +174,7 @@ def style_tree(rows: DataFrame, scratch: Scratch) -> DataFrame:
             out = [(host, *o) for host, page in zip(pdf["host"], pdf["html"], strict=True) if page for o in observations(blocks(page))]
             yield pd.DataFrame(out, columns=["host", "node", "kind", "value"])
 
-    seen = rows.select("host", "html").mapInPandas(run, "host string, node long, kind string, value long")
+    seen = rows.select("host", "html").mapInPandas(lean(run), "host string, node long, kind string, value long")
     seen = scratch.write(seen.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("k")), "seen")
     own = scratch.write(importances(seen, ["host", "node"]), "own")
     every = scratch.write(importances(seen, ["node"]).select("node", "kind", F.col("importance").alias("usual")), "every")
@@ -185,33 +185,21 @@ def style_tree(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def main_text(page: str, styles: dict[tuple[int, str], float]) -> str:
-    """The page's text without its branches of low importance; all of it if none would be left."""
+    """The page's text without its branches of low importance; all of it if none would be left.
+
+    A branch goes if all of it is unimportant, so its leaves decide: by their texts, and to a small
+    part by the presentation of the node that holds them.
+    """
     found = blocks(page)
-    if not found:
-        return ""
-    tree: dict[tuple[str, ...], dict[tuple[str, ...], None]] = {}
-    for path, _ in found:
-        for k in range(len(path)):
-            tree.setdefault(path[:k], {})[path[: k + 1]] = None
-    leaves = {path for path, _ in found}
-    memo: dict[tuple[str, ...], float] = {}
-    for path in sorted(leaves | set(tree), key=len, reverse=True):
-        h = node_hash(path)
-        parts = [memo[c] for c in tree.get(path, ())]
-        value = (1 - DECAY) * styles.get((h, "s"), 1.0) + DECAY * sum(parts) / len(parts) if parts else None
-        if path in leaves:
-            own = styles.get((h, "c"), 1.0)
-            value = own if value is None else max(own, value)
-        memo[path] = value
     is_article = lambda key: key.split(".")[0] in ("article", "main")
+    verdicts: dict[tuple[str, ...], bool] = {}
 
     def stays(path: tuple[str, ...]) -> bool:
-        inside = False
-        for k in range(1, len(path) + 1):
-            inside |= is_article(path[k - 1])
-            if memo[path[:k]] < (LOW_IN_ARTICLE if inside else LOW):
-                return False
-        return True
+        if path not in verdicts:
+            texts, children = styles.get((node_hash(path), "c"), 1.0), styles.get((node_hash(path[:-1]), "s"), 1.0)
+            limit = LOW_IN_ARTICLE if any(map(is_article, path)) else LOW
+            verdicts[path] = TEXTS * texts + (1 - TEXTS) * children >= limit
+        return verdicts[path]
 
     kept = [x for x in found if stays(x[0])] or found
     article = [x for x in kept if any(map(is_article, x[0]))]
