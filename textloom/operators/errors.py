@@ -107,3 +107,37 @@ def signature_frequency(signed: DataFrame, found: DataFrame, rows: DataFrame) ->
     grid = grid.join(counts.withColumnRenamed("label", "class"), ["class", "feature_id"], "left").join(totals, "feature_id", "left").fillna(0, ["c", "t"])
     own, other = F.col("c") / F.col("n_c"), (F.col("t") - F.col("c")) / (F.col("n") - F.col("n_c"))
     return grid.select("class", "feature_id", F.round(own, 6).alias("own_df"), F.round(other, 6).alias("foreign_df"))
+
+
+def pulling_rules(fired_rows: DataFrame, preds: DataFrame, sink: str, top: int = 10) -> DataFrame:
+    """rank, clause_id, n: the sink's clauses that fired most often on other classes' rows taken for it."""
+    into = preds.where((F.col("pred") == sink) & (F.col("label") != sink)).select("doc_id")
+    hits = fired_rows.where((F.col("class") == sink) & (F.col("weight") > 0)).select("doc_id", "clause_id")
+    counts = hits.join(into, "doc_id", "left_semi").groupBy("clause_id").agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.desc("n"), "clause_id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "clause_id"))).select("rank", "clause_id", "n")
+
+
+def pulling_terms(fired_rows: DataFrame, preds: DataFrame, sink: str, top: int = 15) -> DataFrame:
+    """rank, feature_id, n: the plain literals of those clauses, once a row."""
+    into = preds.where((F.col("pred") == sink) & (F.col("label") != sink)).select("doc_id")
+    hits = fired_rows.where((F.col("class") == sink) & (F.col("weight") > 0)).select("doc_id", F.explode("pos").alias("feature_id")).distinct()
+    counts = hits.join(into, "doc_id", "left_semi").groupBy("feature_id").agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.desc("n"), "feature_id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "feature_id"))).select("rank", "feature_id", "n")
+
+
+def generic_signatures(frequency: DataFrame) -> DataFrame:
+    """class, foreign_df, highest: do a class's signature terms occur elsewhere more than any other class's do?"""
+    means = frequency.groupBy("class").agg(F.round(F.avg("foreign_df"), 6).alias("foreign_df"))
+    top = F.row_number().over(Window.orderBy(F.desc("foreign_df"), "class")) == 1
+    return means.withColumn("highest", top)
+
+
+def embedded_probe(rows: DataFrame) -> DataFrame:
+    """rows (share, wrong boolean, errors, seeds) of one class -> medians by fate, U, and error rates below and above one half."""
+    stats = metrics.rank_sum(rows, "share", F.col("wrong"), "greater").select("n1", "n2", "u")
+    above = F.col("share") > 0.5
+    rate = lambda test: F.round(F.coalesce(F.sum(F.when(test, F.col("errors"))) / F.sum(F.when(test, F.col("seeds"))), F.lit(0.0)), 6)
+    medians = rows.agg(F.round(F.median(F.when(F.col("wrong"), F.col("share"))), 6).alias("median_wrong"), F.round(F.median(F.when(~F.col("wrong"), F.col("share"))), 6).alias("median_right"), rate(above).alias("rate_embedded"), rate(~above).alias("rate_rest"))
+    return stats.join(medians, F.lit(True))

@@ -191,3 +191,18 @@ def canonical_seed(values: DataFrame, score: str = "cv_mean", seed: str = "seed"
     every = Window.partitionBy()
     ranked = values.withColumn("place_", F.row_number().over(every.orderBy(score, seed))).withColumn("n_", F.count("*").over(every))
     return ranked.where("place_ = floor((n_ - 1) / 2) + 1").drop("place_", "n_")
+
+
+def seed_aggregate(scores: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """scores (by, seed, fold, macro_f1) -> by, mean, seed_std (of the seeds' means), fold_std (of the folds' means)."""
+    seeds = scores.groupBy(*by, "seed").agg(F.avg("macro_f1").alias("m")).groupBy(*by).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_pop("m"), 6).alias("seed_std"))
+    folds = scores.groupBy(*by, "fold").agg(F.avg("macro_f1").alias("m")).groupBy(*by).agg(F.round(F.stddev_pop("m"), 6).alias("fold_std"))
+    return seeds.join(folds, list(by))
+
+
+def significance(scores: DataFrame, model: str, ratio: float) -> DataFrame:
+    """scores (evaluation, model, split, value) -> evaluation, baseline, and the corrected t-test of the model against it."""
+    ours = scores.where(F.col("model") == model).select("evaluation", "split", F.col("value").alias("ours"))
+    rest = scores.where(F.col("model") != model).withColumnRenamed("model", "baseline")
+    diffs = rest.join(ours, ["evaluation", "split"]).withColumn("diff", F.col("ours") - F.col("value"))
+    return corrected_t(diffs, ("evaluation", "baseline"), "diff", ratio)

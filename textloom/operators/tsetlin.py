@@ -173,3 +173,51 @@ def macro(true: np.ndarray, pred: np.ndarray) -> float:
         tp = ((true == c) & (pred == c)).sum()
         scores.append(2 * tp / max(1, (true == c).sum() + (pred == c).sum()))
     return float(np.mean(scores))
+
+
+def out_of_fold(rows: DataFrame, n_features: int, settings: dict[str, Setting], seeds=(1,), max_rows: int = 20_000) -> DataFrame:
+    """rows (doc_id, label, features, fold) -> setting, seed, doc_id, label, class, votes_for, votes_against, pred.
+
+    Every row is scored by the model that was trained without its fold. The models of a fold travel
+    together as one broadcast row, so rows are not multiplied before their clauses fire.
+    """
+    models = train(rows, n_features, settings, seeds, True, max_rows).persist()
+    packed = models.groupBy("setting", "seed", "fold").agg(F.collect_list(F.struct("class", "weight", "pos", "neg")).alias("clauses_"))
+    classes = F.array_sort(F.array_distinct(F.transform("clauses_", lambda c: c["class"])))
+    scored = rows.join(F.broadcast(packed.withColumn("classes_", classes)), "fold")
+    fired = F.filter("clauses_", lambda c: C.fires(F.col("features"), c["pos"], c["neg"]))
+    scored = scored.withColumn("fired_", fired)
+    votes = lambda name, sign: F.aggregate(F.filter("fired_", lambda c: c["class"] == name), F.lit(0), lambda a, c: a + F.greatest(c["weight"] * sign, F.lit(0)))
+    each = F.transform("classes_", lambda name: F.struct(name.alias("class"), votes(name, 1).alias("votes_for"), votes(name, -1).alias("votes_against")))
+    scored = scored.select("setting", "seed", "doc_id", "label", each.alias("votes_"))
+    best = F.array_min(F.transform("votes_", lambda v: F.struct((v["votes_against"] - v["votes_for"]).alias("s"), v["class"].alias("class"))))["class"]
+    scored = scored.withColumn("pred", best).withColumn("v", F.explode("votes_"))
+    return scored.select("setting", "seed", "doc_id", "label", "v.class", "v.votes_for", "v.votes_against", "pred")
+
+
+def formation(rows: DataFrame, n_features: int, setting: Setting, seed: int = 1, max_rows: int = 20_000) -> DataFrame:
+    """epoch, jaccard (of the included literals with the final ones), literals (a non-empty clause), and
+    class, feature_id, share: how many of the class's clauses for it include each literal of the final model."""
+    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        names = sorted(pdf["label"].unique())
+        y = pdf["label"].map({c: k for k, c in enumerate(names)}).to_numpy()
+        x = matrix(pdf["features"].tolist(), n_features)
+        machine, snapshots = Machine(setting, n_features, len(names), seed), []
+        for _ in range(setting.epochs):
+            machine.epoch(x, y)
+            snapshots.append((machine.included().copy(), machine.weight.copy()))
+        final, made = snapshots[-1][0], []
+        for e, (inc, weight) in enumerate(snapshots, 1):
+            union, counts = (inc | final).sum(), inc.sum(axis=2)
+            jaccard = float((inc & final).sum() / max(1, union))
+            literals = float(counts[counts > 0].mean()) if (counts > 0).any() else 0.0
+            for c, name in enumerate(names):
+                voting = inc[c][(weight[c] > 0) & (machine.sign > 0)]
+                for f in np.flatnonzero(final[c][machine.sign > 0].any(axis=0)[:n_features]):
+                    made.append((e, jaccard, literals, name, int(f), float(voting[:, f].mean()) if len(voting) else 0.0))
+        return pd.DataFrame(made, columns=["epoch", "jaccard", "literals", "class", "feature_id", "share"])
+
+    return few.groupBy(F.lit(0).alias("one")).applyInPandas(run, "epoch int, jaccard double, literals double, class string, feature_id int, share double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, inspection, modelling  # noqa: F401
+from . import curation, inspection, modelling, studies  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
