@@ -109,7 +109,7 @@ def test_class_balanced_equals_the_round_robin(spark):
     rng = random.Random(3)
     docs = [(i, "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9))), rng.choice("xyz")) for i in range(40)]
     rows = spark.createDataFrame(docs, "doc_id long, text string, language string")
-    got = [r.term for r in features.rank_class_balanced(features.terms(rows, (2,)), rows, 12).orderBy("rank").collect()]
+    got = [r.term for r in features.rank_class_balanced(features.class_counts(features.terms(rows, (2,))), rows, 12).orderBy("rank").collect()]
     has = lambda t, c: sum(t in text for _, text, g in docs if g == c)
     sizes = {c: sum(g == c for *_, g in docs) for c in "xyz"}
     terms = {text[i : i + 2] for _, text, _ in docs for i in range(len(text) - 1)}

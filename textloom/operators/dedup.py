@@ -34,30 +34,32 @@ def coefficients(n: int = BANDS * ROWS) -> list[tuple[int, int]]:
 def exact_status(rows: DataFrame, text: str = "text", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds `first`, true for the first row of each normalised text.
 
-    The least row of each text is found by a partial aggregation: a text copied a billion times
-    meets no window.
+    Only hashes and keys are aggregated, map-side first, so a text copied a billion times meets no
+    window; the texts themselves meet no more than the list of keys that are not first.
     """
-    marked = rows.withColumn("digest", F.sha1(normalize(F.col(text))))
-    key = F.struct(*order)
-    least = marked.groupBy(F.col("digest").alias("digest_")).agg(F.min(key).alias("least_"))
-    joined = marked.join(least, F.col("digest").eqNullSafe(F.col("digest_")))
-    return joined.withColumn("first", key.eqNullSafe(F.col("least_"))).drop("digest", "digest_", "least_")
+    keys = rows.select(F.struct(*order).alias("key_"), F.sha1(normalize(F.col(text))).alias("digest_"))
+    least = keys.groupBy("digest_").agg(F.min("key_").alias("least_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
+    later = keys.join(least, keys.digest_.eqNullSafe(least.digest_)).where(~F.col("key_").eqNullSafe(F.col("least_"))).select("key_").distinct()
+    joined = rows.join(later, F.struct(*order).eqNullSafe(F.col("key_")), "left")
+    return joined.withColumn("first", F.col("key_").isNull()).drop("key_")
 
 
 def exact_dedup(rows: DataFrame, text: str = "text", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return exact_status(rows, text, order).where("first").drop("first")
 
 
-def signature(shingle_set: Column, pairs: list[tuple[int, int]]) -> Column:
-    """min over the shingles of (a h + b) mod 2 ** 61 - 1, one for each pair; below 2 ** 61, so exact."""
-    table = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in pairs))
-    return F.transform(table, lambda p: F.array_min(F.transform(shingle_set, lambda h: (h * p["a"] + p["b"]) % F.lit(PRIME))))
-
-
 def band_keys(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """doc_id, shingles -> doc_id, band, key."""
-    signed = rows.select("doc_id", signature(F.col("shingles"), coefficients(bands * per_band)).alias("sig"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_join(F.transform(F.slice("sig", b * per_band + 1, per_band), lambda x: x.cast("string")), "-"))
+    """doc_id, shingles -> doc_id, band, key.
+
+    A signature is min over the shingles of (a h + b) mod 2 ** 61 - 1 for each pair of coefficients;
+    with h below 2 ** 32 and a, b below 2 ** 28 nothing overflows. The minima are aggregates of the
+    exploded shingles, in generated code, merged map-side to one row a document.
+    """
+    pairs = coefficients(bands * per_band)
+    h = rows.select("doc_id", F.explode("shingles").alias("h"))
+    minima = [F.min((F.col("h") * F.lit(a).cast("long") + F.lit(b).cast("long")) % F.lit(PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(pairs)]
+    signed = h.groupBy("doc_id").agg(*minima)
+    keys = F.array(*(F.concat_ws("-", *(f"m{b * per_band + r}" for r in range(per_band))) for b in range(bands)))
     return signed.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
@@ -88,6 +90,7 @@ def shared_shingle_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     Prefix filtering: of two sets that are alike, the first (1 - threshold) share of the shingles
     of each, in order of rarity, has one in common; only those prefixes are joined.
     """
+    sets = _checkpointed(sets)
     items = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     rarity = items.groupBy("h").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc_id").orderBy("df", "h")

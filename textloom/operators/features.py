@@ -29,41 +29,46 @@ def document_frequency(long: DataFrame, min_df: int = 1, by: tuple[str, ...] = (
     return long.groupBy(*by, "term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 
-def _class_counts(long: DataFrame, rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
+def class_counts(long: DataFrame) -> DataFrame:
+    """term, language, df_c: all that rankings and naive Bayes need of the texts; as small as the terms are few."""
+    return long.groupBy("term", "language").agg(F.count("*").alias("df_c"))
+
+
+def _with_totals(counts: DataFrame, rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     """(term, language, df_c, df) and (language, n_c, n); the latter has a row for each class."""
-    own = long.groupBy("term", "language").agg(F.count("*").alias("df_c"))
-    total = own.groupBy("term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
+    total = counts.groupBy("term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
     sizes = rows.groupBy("language").agg(F.count("*").alias("n_c"))
-    return own.join(total, "term"), sizes.withColumn("n", F.sum("n_c").over(Window.partitionBy()))
+    return counts.join(total, "term"), sizes.withColumn("n", F.sum("n_c").over(Window.partitionBy()))
 
 
-def rank_frequency(long: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
+def rank_frequency(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
     """rank, term, score: by document frequency, then by name."""
-    top = document_frequency(long, min_df).orderBy(F.desc("df"), "term").limit(budget)
+    total = counts.groupBy("term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
+    top = total.orderBy(F.desc("df"), "term").limit(budget)
     return _ranked(top.withColumn("score", F.col("df").cast("double")), [F.desc("score"), F.col("term")])
 
 
-def rank_chi2(long: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
+def rank_chi2(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
     """rank, term, score: the chi-square of presence counts against class shares, then by name.
 
     Sum over classes of (obs - exp)^2 / exp with exp = df n_c / n; a class without the term adds exp.
     """
-    counts, sizes = _class_counts(long, rows, min_df)
+    counts, sizes = _with_totals(counts, rows, min_df)
     # sum (o - e)^2 / e = sum o^2 / e - df, so absent cells need no rows
     part = F.sum(F.col("df_c") * F.col("df_c") * F.col("n") / F.col("n_c") / F.col("df"))
-    score = counts.join(sizes, "language").groupBy("term", "df").agg((part - F.col("df")).alias("raw"))
+    score = counts.join(F.broadcast(sizes), "language").groupBy("term", "df").agg((part - F.col("df")).alias("raw"))
     score = score.select("term", F.round("raw", 6).alias("score"))
     return _ranked(score.orderBy(F.desc("score"), "term").limit(budget), [F.desc("score"), F.col("term")])
 
 
-def rank_class_balanced(long: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
+def rank_class_balanced(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
     """rank, term, score: classes in order take turns, each with its next most distinctive term.
 
     Distinctive is P(term | class) - P(term | other classes). A term goes to the earliest turn that
     any class ranks it at; ordering by that turn and class is the round robin in closed form. Only
     the first `budget` terms of each class can matter.
     """
-    counts, sizes = _class_counts(long, rows, min_df)
+    counts, sizes = _with_totals(counts, rows, min_df)
     classes = F.array(*(F.lit(r.language) for r in sizes.select("language").orderBy("language").collect()))
     own = F.map_from_entries(F.collect_list(F.struct("language", "df_c")))
     cells = counts.groupBy("term", "df").agg(own.alias("own")).withColumn("language", F.explode(classes))
@@ -97,15 +102,19 @@ class Settings:
     words: bool = False
 
 
-def vocabulary(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """feature_id, term: fixed delimiters first if wanted, then the best ranked other terms."""
+def vocabulary(rows: DataFrame, settings: Settings = Settings(), counts: DataFrame | None = None) -> DataFrame:
+    """feature_id, term: fixed delimiters first if wanted, then the best ranked other terms.
+
+    counts: the class counts of the rows' terms, if they are at hand.
+    """
     if settings.selection not in RANKINGS:
         raise ValueError(f"unknown selection {settings.selection!r}")
-    long = terms(rows, settings.sizes, settings.words)
+    if counts is None:
+        counts = class_counts(terms(rows, settings.sizes, settings.words))
     base = DELIMITERS[: settings.n_features] if settings.delimiters else ()
     if base:
-        long = long.where(~F.col("term").isin(*base))
-    ranked = RANKINGS[settings.selection](long, rows, settings.n_features - len(base), settings.min_df)
+        counts = counts.where(~F.col("term").isin(*base))
+    ranked = RANKINGS[settings.selection](counts, rows, settings.n_features - len(base), settings.min_df)
     out = ranked.select((F.col("rank") + len(base)).cast("int").alias("feature_id"), "term")
     if base:
         fixed = rows.sparkSession.createDataFrame(list(enumerate(base)), "feature_id int, term string")
@@ -147,8 +156,8 @@ class Binarizer:
     def __init__(self, settings: Settings = Settings()):
         self.settings, self.terms = settings, None
 
-    def fit(self, rows: DataFrame) -> Binarizer:
-        self.terms = [r.term for r in vocabulary(rows, self.settings).orderBy("feature_id").collect()]
+    def fit(self, rows: DataFrame, counts: DataFrame | None = None) -> Binarizer:
+        self.terms = [r.term for r in vocabulary(rows, self.settings, counts).orderBy("feature_id").collect()]
         return self
 
     def vocabulary(self, spark) -> DataFrame:

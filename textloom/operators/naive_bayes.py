@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 def fit(found: DataFrame, rows: DataFrame, vocab: DataFrame, by: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
     """by, language, feature_id, log_p, log_q, log_prior from training rows; every class has every feature."""
+    return fit_counts(found.groupBy(*by, "language", "feature_id").agg(F.count("*").alias("df")), rows, vocab, by, alpha)
+
+
+def fit_counts(counts: DataFrame, rows: DataFrame, vocab: DataFrame, by: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
+    """As fit, from the number of rows (df) of each class that hold each feature."""
     sizes = rows.groupBy(*by, "language").agg(F.count("*").alias("n_c"))
     sizes = sizes.withColumn("prior", F.log(F.col("n_c") / F.sum("n_c").over(Window.partitionBy(*by))))
-    counts = found.groupBy(*by, "language", "feature_id").agg(F.count("*").alias("df"))
     # one row a class with its counts in a map, spread over the vocabulary's ids
     maps = counts.groupBy(*by, "language").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "df"))).alias("dfs"))
     ids = vocab.agg(F.array_sort(F.collect_list("feature_id")).alias("ids"))

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import dedup, splits, windows
 from ..sources.tables import relabelled, snippets_of
 from . import sql
-from .registry import query, table
+from .registry import query, table, texts
 
 P = ("paths AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) AS path, html, regexp_replace(html, '>\\s*<', '>\n<', 'g') AS text FROM pages)")
 EXTENSION = "lower(regexp_extract(list_last(string_split(regexp_replace(path, '/+$', ''), '/')), '[^.]\\.([^.]+)$', 1))"
@@ -18,11 +18,11 @@ EXTENSION = "lower(regexp_extract(list_last(string_split(regexp_replace(path, '/
 def page_snippets(spark, d):
     """pages as snippets of HTML: page_id, path (of the url), text (tags put on lines of their own)."""
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/?([^?#]*)", 1)
-    return table(spark, d, "pages").select("page_id", path.alias("path"), F.regexp_replace("html", r">\s*<", ">\n<").alias("text"))
+    return texts(spark, d, "pages").select("page_id", path.alias("path"), F.regexp_replace("html", r">\s*<", ">\n<").alias("text"))
 
 
 def docs(spark, d):
-    return snippets_of(table(spark, d, "documents"))
+    return snippets_of(texts(spark, d))
 
 
 @query("lang_source_counts", "SELECT lang, source, count(*) AS snippets FROM documents GROUP BY ALL")
@@ -64,7 +64,7 @@ SELECT doc_id, len(l)::INT AS n_lines, COALESCE(list_max(list_transform(l, lambd
        round({sql.share("l", f"regexp_matches(x, {sql.q(T.TEMPLATE)})")}, 6) AS template_fraction,
        md5({sql.normalized()}) AS norm_md5 FROM l""")
 def text_quality_metrics(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text", T.non_blank_lines(F.col("text")).alias("l"))
+    rows = texts(spark, d).select("doc_id", "text", T.non_blank_lines(F.col("text")).alias("l"))
     l = F.col("l")  # noqa: E741
     r = lambda c: F.round(c, 6)
     return rows.select(
@@ -77,7 +77,7 @@ def text_quality_metrics(spark, d):
 SELECT doc_id, len(l) < 10 OR len(list_filter(l, lambda x: regexp_matches(x, {sql.q(T.LICENSE)}))) > 0
        OR {sql.share("l", f"regexp_matches({sql.strip('x')}, {sql.q(T.COMMENT)})")} > 0.8 AS low_signal FROM l""")
 def low_signal_flags(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.non_blank_lines(F.col("text")).alias("l"))
+    rows = texts(spark, d).select("doc_id", T.non_blank_lines(F.col("text")).alias("l"))
     return rows.select("doc_id", T.low_signal(F.col("l")).alias("low_signal"))
 
 
@@ -85,7 +85,7 @@ def low_signal_flags(spark, d):
 w AS (SELECT doc_id, l, unnest(range(len(l) // 20)) AS k FROM l)
 SELECT doc_id, (k * 20 + 1)::INT AS start_line, (k * 20 + 20)::INT AS end_line, md5(array_to_string(l[k * 20 + 1 : k * 20 + 20], chr(10)) || chr(10)) AS text_md5 FROM w""")
 def fixed_line_windows(spark, d):
-    cut = windows.fixed_windows(table(spark, d, "documents"), 20)
+    cut = windows.fixed_windows(texts(spark, d), 20)
     return cut.select("doc_id", "start_line", "end_line", F.md5("text").alias("text_md5"))
 
 
@@ -214,14 +214,14 @@ def size_bands(spark, d):
 
 @query("exact_dedup", f"WITH {sql.exact('documents')} SELECT doc_id FROM ex WHERE first")
 def exact_dedup(spark, d):
-    return dedup.exact_dedup(table(spark, d, "documents")).select("doc_id")
+    return dedup.exact_dedup(texts(spark, d)).select("doc_id")
 
 
 _SETS = f"{sql.SNIP}, {sql.exact('snip')}, kept AS (SELECT doc_id, text FROM ex WHERE first), {sql.shingles('kept')}"
 
 
 def sets(spark, d):
-    rows = dedup.exact_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    rows = dedup.exact_dedup(texts(spark, d).select("doc_id", "text"))
     return rows.select("doc_id", T.shingles(F.col("text")).alias("shingles"))
 
 
@@ -260,12 +260,12 @@ _STATUS = f"WITH RECURSIVE {_CAND}, {_VERIFIED}, {sql.greedy('pairs')}, status A
 
 @query("near_dup_greedy", f"{_STATUS} SELECT doc_id, status FROM status")
 def near_dup_greedy(spark, d):
-    return dedup.dedup_status(table(spark, d, "documents").select("doc_id", "text"))
+    return dedup.dedup_status(texts(spark, d).select("doc_id", "text"))
 
 
 @query("dedup_stats", f"{_STATUS} SELECT count(*) AS total, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'near') AS near, count(*) FILTER (status = 'kept') AS kept FROM status")
 def dedup_stats(spark, d):
-    return dedup.dedup_stats(dedup.dedup_status(table(spark, d, "documents").select("doc_id", "text")))
+    return dedup.dedup_stats(dedup.dedup_status(texts(spark, d).select("doc_id", "text")))
 
 
 @query("cross_set_dedup", """WITH t AS (SELECT 0 AS set_rank, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
@@ -281,7 +281,7 @@ SELECT item_id, doc_id, round(count(*) / ANY_VALUE(n), 6) AS contained FROM ib J
 def benchmark_contamination(spark, d):
     """Benchmark items whose shingles a document contains to eight tenths or more."""
     items = table(spark, d, "benchmark").select("item_id", T.shingles(F.col("text")).alias("s")).select("item_id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    held = table(spark, d, "documents").select("doc_id", F.explode(T.shingles(F.col("text"))).alias("h"))
+    held = texts(spark, d).select("doc_id", F.explode(T.shingles(F.col("text"))).alias("h"))
     counts = held.join(items, "h").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c"))
     return counts.where(F.col("c") / F.col("n") >= 0.8).select("item_id", "doc_id", F.round(F.col("c") / F.col("n"), 6).alias("contained"))
 

@@ -35,18 +35,18 @@ def word_doc_freq(spark, d):
 
 @query("vocab_frequency", f"{_NG}, v AS (SELECT term, count(*) AS df FROM ng GROUP BY term HAVING count(*) >= 2) SELECT (row_number() OVER (ORDER BY df DESC, term) - 1)::INT AS rank, term, df::DOUBLE AS score FROM v QUALIFY rank < {M}")
 def vocab_frequency(spark, d):
-    return features.rank_frequency(long_terms(spark, d), docs(spark, d), M, MIN_DF)
+    return features.rank_frequency(features.class_counts(long_terms(spark, d)), docs(spark, d), M, MIN_DF)
 
 
 @query("vocab_chi2", f"""{_NG}, {sql.class_scores('ng', 'snip', MIN_DF)}, s AS (SELECT term, round(SUM(df_c * df_c * n / n_c / df) - ANY_VALUE(df), 6) AS score FROM cell GROUP BY term)
 SELECT (row_number() OVER (ORDER BY score DESC, term) - 1)::INT AS rank, term, score FROM s QUALIFY rank < {M}""")
 def vocab_chi2(spark, d):
-    return features.rank_chi2(long_terms(spark, d), docs(spark, d), M, MIN_DF)
+    return features.rank_chi2(features.class_counts(long_terms(spark, d)), docs(spark, d), M, MIN_DF)
 
 
 @query("vocab_class_balanced", f"{_NG}, {sql.class_scores('ng', 'snip', MIN_DF)}, {sql.balanced(M)} SELECT feature_id AS rank, term, score FROM vocab")
 def vocab_class_balanced(spark, d):
-    return features.rank_class_balanced(long_terms(spark, d), docs(spark, d), M, MIN_DF)
+    return features.rank_class_balanced(features.class_counts(long_terms(spark, d)), docs(spark, d), M, MIN_DF)
 
 
 @query("vocab_delimiters", f"""{_NG}, base AS (SELECT t.i::INT AS feature_id, t.term FROM (VALUES {", ".join(f"({i}, {sql.q(t)})" for i, t in enumerate(features.DELIMITERS))}) t(i, term)),
@@ -69,17 +69,19 @@ def split_rows(spark, d):
     return assigned.where("split = 'train'").drop("split"), assigned.where("split = 'test'").drop("split", "fold")
 
 
-def binarizer(train):
+def binarizer(train, counts=None):
     """The vocabulary is a setting's worth of terms, so it is fitted once and kept on the driver."""
-    return features.Binarizer(SETTINGS).fit(train.select("doc_id", "text", "language", "repo"))
+    return features.Binarizer(SETTINGS).fit(train.select("doc_id", "text", "language", "repo"), counts)
 
 
 def nb_model(spark, d):
+    """The training texts are exploded once: vocabulary and model come from the same class counts."""
     train, test = split_rows(spark, d)
-    b = binarizer(train)
+    counts = features.class_counts(features.terms(train.select("doc_id", "text", "language"))).persist()
+    b = binarizer(train, counts)
     vocab = b.vocabulary(spark)
-    found = features.presence(train.select("doc_id", "text", "language"), vocab)
-    return b, vocab, naive_bayes.fit(found, train, vocab), train, test
+    df = counts.join(F.broadcast(vocab), "term").select("language", "feature_id", F.col("df_c").alias("df"))
+    return b, vocab, naive_bayes.fit_counts(df, train, vocab), train, test
 
 
 def nb_predictions(spark, d):

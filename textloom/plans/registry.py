@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.tables import spread
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,3 +20,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark, sf_dir: str, name: str = "documents"):
+    """A table whose texts are worth every core."""
+    return spread(table(spark, sf_dir, name))

@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, small: int = 1 << 29) -> DataFrame:
+    """A small table over all cores, as a single row group would keep them idle; a large one as its files lie.
+
+    The size is Spark's own estimate of what the scan reads, so a large table is never shuffled.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df
+
+
 def snippets_of(docs: DataFrame) -> DataFrame:
     """documents as snippets: doc_id, text, language, repo (a source and language together)."""
     return docs.select("doc_id", "text", F.col("lang").alias("language"), F.concat_ws(":", "source", "lang").alias("repo"))
