@@ -105,13 +105,20 @@ def test_simhash_equals_brute_force(spark, sf_dir, docs):
     assert {r.doc_id: r.component_id for r in got} == components_by_brute_force(fps)
 
 
-def test_simhash_links_at_the_radius(spark):
+def test_steps_are_half_of_the_ball():
+    every = [(a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3) if abs(a) + abs(b) + abs(c) <= 2]
+    half = op1_simhash.steps(3, 2)
+    assert len(half) == (len(every) + 1) // 2 and {d for h in half for d in (h, tuple(-x for x in h))} == set(every)
+
+
+@pytest.mark.parametrize("parts", [2, 4, 8])
+def test_simhash_links_at_the_radius(spark, parts):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     flips = [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in (1, 2, 3, 4)]
     values = np.unique(np.concatenate((base, *flips)))
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    got = stars(op1_simhash.links(df, 3, Scratch(spark, "test")), Scratch(spark, "test")).collect()
+    got = stars(op1_simhash.links(df, 3, Scratch(spark, "test"), parts), Scratch(spark, "test")).collect()
     near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3
     label = values.view(np.int64).copy()
     while True:

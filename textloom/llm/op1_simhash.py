@@ -11,18 +11,17 @@ has members.
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, lean, read
 from .components import stars
 
 TILE = 2048
+PARTS = 4  # parts of a fingerprint whose population counts are a tile's key
 BITS_AT_ONCE = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -55,27 +54,37 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
     return rows.mapInPandas(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _quarter(k: int) -> Column:
-    return F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
+def steps(parts: int, radius: int) -> list[tuple[int, ...]]:
+    """Differences of counts that add up to the radius at most; of a difference and its opposite only one."""
+    out: list[tuple[int, ...]] = [()]
+    for _ in range(parts):
+        out = [(*d, x) for d in out for x in range(-radius, radius + 1) if sum(map(abs, d)) + abs(x) <= radius]
+    return [d for d in out if d >= (0,) * parts]
+
 
+def tile_pairs(fps: DataFrame, radius: int, scratch: Scratch, parts: int = PARTS) -> DataFrame:
+    """Rows (a, b, same): the fingerprints of every pair of tiles that may hold a link.
 
-def tile_pairs(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """Rows (a, b, same): the fingerprints of every pair of tiles that may hold a link."""
-    key = sum((_quarter(k) * 32**k for k in range(1, 4)), _quarter(0)).cast("int")
+    More parts make narrower tiles: fewer pairs are compared, and each tile is sent to more others.
+    Two, four or eight parts give the same links.
+    """
+    width = 64 // parts
+    base = 1 << width.bit_length()
+    count = lambda k: F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))).cast("long")
+    key = sum((count(k) * base**k for k in range(1, parts)), count(0))
     keyed = fps.select("fp", key.alias("key"))
-    # at most 17 ** 4 keys, so this side has a proven bound
-    parts = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    split = keyed.join(F.broadcast(parts), "key").withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    # at most (width + 1) ** parts keys, 83,521 of four parts: a proven bound, beyond which Spark decides
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    split = keyed.join(F.broadcast(sizes) if (width + 1) ** parts <= 100_000 else sizes, "key")
+    split = split.withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     tiles = scratch.write(split.groupBy("key", "part").agg(F.collect_list("fp").alias("fps")), "tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
-    later = [d for d in steps if d >= (0, 0, 0, 0)]
-    moves = [F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(d))) for d in later]
-    quarter = lambda k: F.shiftright("key", 5 * k).bitwiseAND(F.lit(31))
+    moves = [F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(d))) for d in steps(parts, radius)]
     left = tiles.select("key", "part", "fps", F.explode(F.array(*moves)).alias("d"))
-    inside = [(quarter(k) + F.col(f"d.d{k}")).between(0, 16) for k in range(4)]
-    left = left.where(inside[0] & inside[1] & inside[2] & inside[3])
-    to = sum((F.col(f"d.d{k}") * 32**k for k in range(1, 4)), F.col("d.d0") + F.col("key"))
-    left = left.select(F.col("key").alias("from"), F.col("part").alias("from_part"), F.col("fps").alias("a"), to.cast("int").alias("key"))
+    inside = F.lit(True)
+    for k in range(parts):
+        inside = inside & (F.shiftright("key", (base - 1).bit_length() * k).bitwiseAND(F.lit(base - 1).cast("long")) + F.col(f"d.d{k}")).between(0, width)
+    to = F.col("key") + sum((F.col(f"d.d{k}") * F.lit(base**k).cast("long") for k in range(1, parts)), F.col("d.d0"))
+    left = left.where(inside).select(F.col("key").alias("from"), F.col("part").alias("from_part"), F.col("fps").alias("a"), to.alias("key"))
     pairs = left.join(tiles, "key").where("key <> from or from_part <= part")
     return pairs.select("a", F.col("fps").alias("b"), F.expr("key = from and from_part = part").alias("same"))
 
@@ -113,7 +122,7 @@ def spanning_forest(u: np.ndarray, v: np.ndarray, nodes: np.ndarray) -> tuple[np
     return nodes[u], nodes[label[u]]
 
 
-def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+def links(fps: DataFrame, radius: int, scratch: Scratch, parts: int = PARTS) -> DataFrame:
     """fps: distinct fingerprints. Rows (u, v) that connect just what is linked within the radius."""
 
     def run(batches):
@@ -124,10 +133,10 @@ def links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
                 u, v = (np.concatenate(side).view(np.int64) for side in zip(*found, strict=True))
                 yield pd.DataFrame({"u": u, "v": v})
 
-    return tile_pairs(fps, radius, scratch).mapInPandas(lean(run), "u long, v long")
+    return tile_pairs(fps, radius, scratch, parts).mapInPandas(lean(run), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42, parts: int = PARTS) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id (least id that links reach).
 
     Null and empty texts, and those of white space only, have fingerprint zero and are linked like
@@ -138,7 +147,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, id_col, text_col, width, seed), "prints")
     classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = stars(links(classes, radius, scratch), scratch)
+    found = stars(links(classes, radius, scratch, parts), scratch)
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
     least = scratch.write(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")

@@ -26,6 +26,7 @@ MIN_OVERLAP = 13
 MISMATCH = 4  # a mismatch undoes so many matches
 BLOCK = 500_000
 _TABLE_BITS = 22
+AT_ONCE = 1 << 20  # bytes of text searched at once, or one text
 
 
 def block_of(items: list[tuple[object, np.ndarray]]) -> dict:
@@ -135,7 +136,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             for batch in batches:
                 ids, ths = batch.column("id"), batch.column("th")
                 texts = batch.column("text")
-                step = max(1, int(batch.num_rows * (4 << 20) / max(1, texts.nbytes)))
+                step = max(1, int(batch.num_rows * AT_ONCE / max(1, texts.nbytes)))
                 for i in range(0, batch.num_rows, step):
                     got = search(block, texts.slice(i, step), min_overlap)
                     if got:
