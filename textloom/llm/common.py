@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it; everything else is part of a word.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
@@ -39,8 +41,14 @@ class Scratch:
         atexit.register(self.drop_all)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Python nodes of the table get BATCH_ROWS texts at once, which bounds both sides' buffers."""
+        path, conf = f"{self.folder}/{name}", self.spark.conf
+        rows = conf.get(BATCH_CONF)
+        conf.set(BATCH_CONF, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(BATCH_CONF, rows)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
