@@ -116,7 +116,9 @@ def wide_links(classes: DataFrame, radius: int, similarity: float, scratch: Scra
                 rows = lists.flatten()
                 columns = {k: rows.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("t", "f1", "f2")}
                 ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-                sides.append([{k: v[s:e] for k, v in columns.items()} for s, e in zip(ends[:-1], ends[1:], strict=True)])
+                # in order of t, so that of equally near links the same ones are chosen in every run
+                orders = [s + np.argsort(columns["t"][s:e], kind="stable") for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                sides.append([{k: v[order] for k, v in columns.items()} for order in orders])
             for a, b, same in zip(*sides, batch.column("same").to_pylist(), strict=True):
                 u, v = (side.view(np.int64) for side in _pair_links(a, b, same, radius))
                 if len(u):
