@@ -560,6 +560,25 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {i for i in range(len(rows)) if any(alike(i, k) for k in range(i - i % 4, i))} == set(gone)
 
 
+def copies_of(seed, n, edits):
+    """A base of 300 words and n copies of it with some words changed."""
+    rng = random.Random(seed)
+    base = [f"word{rng.randrange(5000)}" for _ in range(300)]
+    rows = [" ".join(base)]
+    for _ in range(n):
+        copy = list(base)
+        for k in rng.sample(range(300), edits):
+            copy[k] = f"edit{rng.randrange(10**9)}"
+        rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_near_duplicates_of_one_base_are_one_group(spark):
+    df = spark.createDataFrame(copies_of(5, 400, 4), "doc_id long, text string")
+    gone = nd.near_duplicates(df).collect()
+    assert len(gone) == 400 and {r.kept_id for r in gone} == {0}
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     gone = {(r.id, r.kept_id) for r in nd.near_duplicates(odd).collect()}
     assert {(11, 10), (12, 10), (5, 4)} <= gone and not {i for i, _ in gone} & {6, 7, 20, 21}

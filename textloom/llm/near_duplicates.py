@@ -3,9 +3,11 @@
 The same tiled, exact comparison as in op1_simhash, with a fingerprint of 128 bits over five-word
 shingles, so that similarities down to 0.8 are told from chance. Two sets of shingles that are
 0.8 alike differ by a quarter in size at most, so tiles are laid out by shingle count (bands of a
-factor of 1 / SIMILARITY) and population count, and only neighbouring tiles are compared. A text's
-NEAREST links in each pair of tiles are then compared shingle by shingle; those at least
-SIMILARITY alike make the groups. So a group costs rows in proportion to its members.
+factor of 1 / SIMILARITY) and population count, and only neighbouring tiles are compared. A pair of
+tiles names its texts that have a link; their sets of shingles then meet in one task, where every
+link between texts not yet joined is compared shingle by shingle. Those at least SIMILARITY alike
+make the groups, and a spanning forest of them leaves the task, so a group costs rows in proportion
+to its members.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, counted, lean
+from .common import Scratch, counted, give_back, lean
 from .components import stars
 from .op1_simhash import BITS_AT_ONCE, TILE
 from .repeats import as_text, keyed, longs
 
 WIDTH, SIMILARITY = 5, 0.8
 RADIUS = 24  # of 128 bits; texts 0.8 alike differ in 19, unrelated ones in 64 on average
-NEAREST = 3  # links of a text that are verified, in each pair of tiles
+SHINGLES = 1 << 20  # of a tile at most, or one text: what a task that compares sets holds of each side
 POPULATION = 8  # population counts are laid out in groups of this width
 
 
@@ -66,36 +68,25 @@ def prints(rows: DataFrame, width: int) -> DataFrame:
     return longs(as_text(rows.select("id", "th", "text")).mapInPandas(lean(run), "id string, th long, t long, f1 long, f2 long, n long"))
 
 
-def _pair_links(a: dict, b: dict, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest links of every text between two tiles; the first words alone rule out most pairs."""
-    xs, ys, ds = [], [], []
+def _within(a: dict, b: dict, same: bool, radius: int):
+    """The pairs (x, y) of texts of two tiles within the radius, for 128 texts of a at once; the first words alone rule out most."""
     for i in range(0, len(a["t"]), 128):
         first = np.bitwise_count(a["f1"][i : i + 128, None] ^ b["f1"][None, :])
         x, y = np.nonzero(first <= radius)
-        d = first[x, y].astype(np.int16) + np.bitwise_count(a["f2"][i + x] ^ b["f2"][y])
-        near = d <= radius
+        near = first[x, y].astype(np.int16) + np.bitwise_count(a["f2"][i + x] ^ b["f2"][y]) <= radius
         if same:
-            near &= i + x != y
-        xs.append(i + x[near])
-        ys.append(y[near])
-        ds.append(d[near])
-    x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
-    chosen = np.zeros(len(x), dtype=bool)
-    for one, other in ((x, y), (y, x)):
-        order = np.lexsort((other, d, one))
-        starts = np.flatnonzero(np.diff(one[order], prepend=-1))
-        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        chosen[order[rank < NEAREST]] = True
-    return a["t"][x[chosen]], b["t"][y[chosen]]
+            near &= i + x < y
+        yield i + x[near], y[near]
 
 
 def wide_links(classes: DataFrame, radius: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """classes (t, f1, f2, n) -> rows u < v: the nearest links within the radius."""
+    """classes (t, f1, f2, n) -> pair, side, t, f1, f2: in every pair of tiles, the texts that have a link within the radius."""
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     group = F.floor((F.bit_count("f1") + F.bit_count("f2")) / POPULATION).cast("int")
     keyed_ = classes.select("t", "f1", "f2", band.alias("band"), group.alias("pop"))
     # few keys: one for each band of sizes, at most log(longest text) / log(1.25), and group
-    parts = keyed_.groupBy("band", "pop").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    size = F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.lit(SHINGLES) * F.pow(F.lit(similarity), F.col("band") + 1))))
+    parts = keyed_.groupBy("band", "pop").agg(F.count("*").alias("n")).select("band", "pop", F.ceil(F.col("n") / size).alias("parts"))
     split = keyed_.join(F.broadcast(parts), ["band", "pop"]).withColumn("part", F.pmod(F.xxhash64("t"), "parts").cast("int"))
     tile = F.collect_list(F.struct("t", "f1", "f2")).alias("tile")
     tiles = scratch.write(split.groupBy("band", "pop", "part").agg(tile), "tiles")
@@ -106,7 +97,8 @@ def wide_links(classes: DataFrame, radius: int, similarity: float, scratch: Scra
     left = left.select("b0", "p0", "part0", "a", (F.col("b0") + F.col("d.b")).alias("band"), (F.col("p0") + F.col("d.p")).alias("pop"))
     own = F.expr("band = b0 and pop = p0")
     pairs = left.join(tiles, ["band", "pop"]).where(~own | F.expr("part0 <= part"))
-    pairs = pairs.select("a", F.col("tile").alias("b"), (own & F.expr("part0 = part")).alias("same"))
+    pair = F.xxhash64("b0", "p0", "part0", "band", "pop", "part").alias("pair")
+    pairs = pairs.select(pair, "a", F.col("tile").alias("b"), (own & F.expr("part0 = part")).alias("same"))
 
     def run(batches):
         for batch in batches:
@@ -116,15 +108,77 @@ def wide_links(classes: DataFrame, radius: int, similarity: float, scratch: Scra
                 rows = lists.flatten()
                 columns = {k: rows.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("t", "f1", "f2")}
                 ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-                # in order of t, so that of equally near links the same ones are chosen in every run
-                orders = [s + np.argsort(columns["t"][s:e], kind="stable") for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                sides.append([{k: v[order] for k, v in columns.items()} for order in orders])
-            for a, b, same in zip(*sides, batch.column("same").to_pylist(), strict=True):
-                u, v = (side.view(np.int64) for side in _pair_links(a, b, same, radius))
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                sides.append([{k: v[s:e] for k, v in columns.items()} for s, e in zip(ends[:-1], ends[1:], strict=True)])
+            for number, a, b, same in zip(batch.column("pair").to_pylist(), *sides, batch.column("same").to_pylist(), strict=True):
+                linked = [np.zeros(len(a["t"]), dtype=bool), np.zeros(len(b["t"]), dtype=bool)]
+                for x, y in _within(a, b, same, radius):
+                    linked[0][x] = True
+                    linked[0 if same else 1][y] = True
+                for side, (rows, chosen) in enumerate(zip((a, b), linked, strict=True)):
+                    if n := int(chosen.sum()):
+                        columns = [pa.array(np.full(n, number)), pa.array(np.full(n, side, dtype=np.int32)), *(pa.array(rows[k][chosen].view(np.int64)) for k in ("t", "f1", "f2"))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["pair", "side", "t", "f1", "f2"])
 
-    return pairs.mapInArrow(lean(run), "u long, v long").distinct()
+    return pairs.mapInArrow(lean(run), "pair long, side int, t long, f1 long, f2 long")
+
+
+def alike_forest(a: dict, b: dict, same: bool, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The links within the radius whose sets are alike, reduced to a spanning forest.
+
+    A side has t, f1, f2, and its sets as codes (all of them) and ends (from 0). Every link is
+    compared but those between texts that verified links join already.
+    """
+    shift = 0 if same else len(a["t"])
+    nodes = a["t"] if same else np.concatenate((a["t"], b["t"]))
+    label = np.arange(len(nodes))
+    mark = np.zeros(1 + max((int(side["codes"].max()) for side in (a, b) if len(side["codes"])), default=0), dtype=bool)
+    sizes, us, vs = np.diff(b["ends"]), [], []
+    for x, y in _within(a, b, same, radius):
+        firsts = np.flatnonzero(np.diff(x, prepend=-1))
+        for k, ys in zip(x[firsts].tolist(), np.split(y, firsts[1:]) if len(firsts) else [], strict=True):
+            ys = ys[label[ys + shift] != label[k]]
+            mine = a["codes"][a["ends"][k] : a["ends"][k + 1]]
+            mark[mine] = True
+            for i in range(0, len(ys), 256):
+                some = ys[i : i + 256]
+                n = sizes[some]
+                at = np.arange(n.sum()) + np.repeat(b["ends"][some] - (np.cumsum(n) - n), n)
+                hits = np.concatenate(([0], np.cumsum(mark[b["codes"][at]])))
+                shared = hits[np.cumsum(n)] - hits[np.cumsum(n) - n]
+                some = some[shared >= similarity * (len(mine) + n - shared)]
+                joined, one = np.unique(label[some + shift], return_index=True)
+                one = one[joined != label[k]]
+                us.append(np.full(len(one), k))
+                vs.append(some[one] + shift)
+                if len(one):
+                    label[np.isin(label, joined)] = label[k]
+            mark[mine] = False
+    u, v = (np.concatenate(side) if side else np.zeros(0, dtype=np.int64) for side in (us, vs))
+    return nodes[u], nodes[v]
+
+
+def _verified(linked: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Rows u, v that connect just what links of at least the similarity connect in each pair of tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, t, f1, f2 = (table.column(c).to_numpy() for c in ("side", "t", "f1", "f2"))
+        lists = table.column("shingles").combine_chunks()
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1].reshape(-1)
+        sides = []
+        for k in (0, 1):
+            rows = np.flatnonzero(side == k)
+            rows = rows[np.argsort(t[rows], kind="stable")]  # so that every run returns the same links
+            n = ends[rows + 1] - ends[rows]
+            at = np.arange(n.sum()) + np.repeat(ends[rows] - (np.cumsum(n) - n), n)
+            sides.append({"t": t[rows], "f1": f1[rows].view(np.uint64), "f2": f2[rows].view(np.uint64), "codes": codes[at], "ends": np.concatenate(([0], np.cumsum(n)))})
+        same = not len(sides[1]["t"])
+        u, v = alike_forest(sides[0], sides[0] if same else sides[1], same, radius, similarity)
+        give_back()
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return linked.join(sets, "t").select("pair", "side", "t", "f1", "f2", "shingles").groupBy("pair").applyInArrow(run, "u long, v long")
 
 
 def _shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -157,14 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = scratch.write(prints(rows, width), "prints")
     by_words = found.groupBy("t").agg(F.min(F.struct("id", "th")).alias("rep"), *(F.first(c).alias(c) for c in ("f1", "f2", "n")))
     classes = scratch.write(by_words, "classes")
-    links = scratch.write(wide_links(classes, radius, similarity, scratch), "links")
-    linked = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).distinct()
-    wanted = scratch.write(linked.join(classes, linked.node == classes.t).select("t", F.col("rep.th").alias("th")), "wanted")
+    linked = scratch.write(wide_links(classes, radius, similarity, scratch), "linked")
+    wanted = linked.select(F.col("t").alias("node")).distinct()
+    wanted = scratch.write(wanted.join(classes, wanted.node == classes.t).select("t", F.col("rep.th").alias("th")), "wanted")
     sets = scratch.write(_shingle_sets(rows, wanted, width), "sets")
-    first = links.join(sets.select(F.col("t").alias("u"), F.col("shingles").alias("a")), "u")
-    both = first.join(sets.select(F.col("t").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    alike = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    alike = _verified(linked, sets, radius, similarity)
     roots = stars(scratch.write(alike, "alike"), scratch)
     status = classes.select("t", "rep").join(roots, F.col("t") == F.col("node"), "left")
     status = scratch.write(status.select("t", "rep", F.coalesce("root", "t").alias("root")), "status")
