@@ -579,6 +579,14 @@ def test_near_duplicates_of_one_base_are_one_group(spark):
     assert len(gone) == 400 and {r.kept_id for r in gone} == {0}
 
 
+def test_near_duplicates_of_barely_enough_similarity(spark):
+    pairs = [[x for _, x in copies_of(1000 + g, 1, 6)] for g in range(400)]
+    pairs = [p for p in pairs if 0.8 <= jaccard5(*p) < 0.85]
+    rows = [(2 * g + k, p[k]) for g, p in enumerate(pairs) for k in (0, 1)]
+    gone = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(pairs) > 200 and {(r.id, r.kept_id) for r in gone} == {(2 * g + 1, 2 * g) for g in range(len(pairs))}
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     gone = {(r.id, r.kept_id) for r in nd.near_duplicates(odd).collect()}
     assert {(11, 10), (12, 10), (5, 4)} <= gone and not {i for i, _ in gone} & {6, 7, 20, 21}
