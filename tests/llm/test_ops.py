@@ -443,6 +443,35 @@ def test_neighbours_recall(spark):
     assert all([s for _, s in got[i]] == sorted((s for _, s in got[i]), reverse=True) for i in want)
 
 
+def skewed(kind):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(5000, 64))
+    if kind == "cone":
+        x = x + 5 * rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "log-normal":
+        x *= rng.lognormal(0, 0.5, size=(5000, 1))
+    if kind == "very log-normal":
+        x *= rng.lognormal(0, 1.5, size=(5000, 1))
+    if kind.startswith("one of"):
+        x[77] *= float(kind.split()[-1])
+    return x
+
+
+def recall_on(spark, kind):
+    x = skewed(kind)
+    want, got = brute_neighbours(np.arange(5000), x), defaultdict(set)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in op8_neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    return sum(len({v for v, _ in want[i]} & got[i]) for i in want) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("kind", ["one of 3.5", "one of 10", "one of 1e6", "log-normal", "very log-normal", "cone", "unit"])
+def test_neighbours_recall_on_skewed_norms(spark, kind):
+    assert recall_on(spark, kind) >= 0.9
+
+
 @pytest.mark.parametrize("scale", [False, True])
 def test_neighbours_of_few_vectors_are_exact(spark, scale):
     rng = np.random.default_rng(7)

@@ -1,13 +1,15 @@
 """Nearest neighbours by inner product with a permutation index.
 
-A vector is represented by its PREFIX nearest of PIVOTS pivots, in order. Vectors are first
-scaled by the largest norm and lifted by one coordinate to unit length, so that the pivots nearest
-in angle tell the largest inner products whatever the norms. In every block of the index, pivot
-inverted files post each distinct vector with the weight PREFIX - rank; a query reads the files of
-its own pivots. The footrule distance of two prefixes, where a missing pivot has rank PREFIX, is a
-constant minus twice the sum of the smaller of both weights over the pivots they share, so the sum
-ranks all candidates. The best FRACTION of a block (MIN_CANDIDATES at least) is reranked by the
-inner product itself.
+A vector is represented by its PREFIX nearest of PIVOTS pivots, in order. Nearness to a pivot is
+by angle, so norms play no part in it. In every block of the index, pivot inverted files post each
+distinct vector with the weight PREFIX - rank; a query reads the files of its own pivots. The
+footrule distance of two prefixes, where a missing pivot has rank PREFIX, is a constant minus twice
+the sum of the smaller of both weights over the pivots they share, so the sum tells the cosine: a
+line fitted to some pairs of the block gives its estimate. The inner products of the candidates
+best by norm and estimate give a level that the k-th neighbour reaches; a vector reaches it if its
+cosine is level / norm, and the candidates are ranked by how little their estimate lacks of that,
+which with equal norms is the order of the sums. The best FRACTION of a block (MIN_CANDIDATES at
+least) is reranked by the inner product itself.
 
 Index and queries are cut into blocks of a bounded size by a hash of the id, and every block of
 queries meets every block of the index in a task of its own: nothing is broadcast but the pivots.
@@ -24,7 +26,9 @@ from .common import Scratch, read
 
 PIVOTS, PREFIX = 256, 64
 FRACTION, MIN_CANDIDATES = 0.22, 384
-CLOSE = 0.9  # cosine from which a vector is no pivot beside another
+CLOSE = 0.9  # cosine from which a vector is no pivot beside another, while there are others
+LEARN_QUERIES, LEARN_VECTORS = 64, 2_048  # of a pair of blocks, to fit the estimate of the cosine
+LEVEL = 128  # candidates that tell the level of the k-th neighbour
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 1_024
 
 
@@ -34,14 +38,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
 
 
-def lift(x: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors of at most the longest norm, scaled and lifted to unit length."""
-    x = x / longest
-    return np.column_stack((x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))))
+def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that are not zero at unit length, and their norms."""
+    most = np.abs(x).max(axis=1)
+    x = x / most[:, None]
+    norm = np.sqrt((x * x).sum(axis=1))
+    return x / norm[:, None], most * norm
 
 
 def weights(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """PREFIX - rank for the nearest pivots of each (already lifted) vector, 0 for the others."""
+    """PREFIX - rank for the nearest pivots of each vector, 0 for the others."""
     prefix = min(prefix, len(pivots))
     out = np.zeros((len(x), len(pivots)), dtype=np.uint16)
     if prefix:
@@ -51,11 +57,16 @@ def weights(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def apart(pool: np.ndarray, pivots: int) -> np.ndarray:
-    """The first vectors of the pool that are not close to one before: copies would be one pivot many times."""
+    """The first vectors of the pool that are not close to one before: copies would be one pivot many times.
+
+    If they are too few, what is close is taken more narrowly, down to copies, so pivots run short only
+    where the pool has no more directions.
+    """
     chosen: list[int] = []
-    for i in range(len(pool)):
-        if len(chosen) < pivots and not (pool[chosen] @ pool[i] > CLOSE).any():
-            chosen.append(i)
+    for close in (CLOSE, 0.97, 0.99, 0.999, 0.9999, 1 - 1e-9):
+        for i in range(len(pool)):
+            if len(chosen) < pivots and i not in chosen and not (pool[chosen] @ pool[i] > close).any():
+                chosen.append(i)
     return pool[chosen]
 
 
@@ -68,7 +79,7 @@ def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
 class Posted:
     """One block of the index: distinct vectors, their ids, and the pivots' inverted files."""
 
-    def __init__(self, ids, x, pivots, longest, prefix, k):
+    def __init__(self, ids, x, pivots, prefix, k):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         self.x, first, label = np.unique(x, axis=0, return_index=True, return_inverse=True)
@@ -79,17 +90,37 @@ class Posted:
         members = np.argsort(label, kind="stable")
         self.starts = np.searchsorted(label[members], np.arange(len(self.x) + 1))
         self.ids, self.k = ids[members], k
-        self.files = np.ascontiguousarray(weights(lift(self.x, longest), pivots, prefix).T)
+        self.unit, self.norms = unit(self.x)
+        self.files = np.ascontiguousarray(weights(self.unit, pivots, prefix).T)
+        self.line = 0.0, 0.0
+
+    def shared(self, weight, some=slice(None)):
+        """The sum of the smaller weights over the pivots shared with a query."""
+        read = np.flatnonzero(weight)
+        return np.minimum(self.files[read, some], weight[read][:, None]).sum(axis=0, dtype=np.int64)
+
+    def learn(self, units, marks):
+        """Fits the line from sums to cosines on some of the queries and of the vectors."""
+        some = slice(None, None, -(-len(self.x) // LEARN_VECTORS))
+        picked = range(0, len(units), -(-len(units) // LEARN_QUERIES))
+        sums = np.concatenate([self.shared(marks[i], some) for i in picked]).astype(np.float64)
+        cosines = np.concatenate([self.unit[some] @ units[i] for i in picked])
+        spread = sums.var()
+        slope = max(0.0, ((sums - sums.mean()) * (cosines - cosines.mean())).mean() / spread) if spread else 0.0
+        self.line = cosines.mean() - slope * sums.mean(), slope
 
     def nearest(self, query_id, q, weight, fraction, least):
         """(ids, scores) of the k nearest candidates, without the query's own row."""
         n = len(self.x)
         m = min(n, max(least, int(fraction * n)))
-        read = np.flatnonzero(weight)
-        if m < n and len(read):
-            shared = np.minimum(self.files[read], weight[read][:, None]).sum(axis=0, dtype=np.int64)
-            rank = shared * n + np.arange(n - 1, -1, -1)  # ties to the vector with the least id
-            found = np.sort(np.argpartition(-rank, m - 1)[:m])
+        if m < n:
+            cosine = self.line[0] + self.line[1] * self.shared(weight)
+            first = min(m, max(LEVEL, 2 * self.k + 2))
+            likely = np.argpartition(-(self.norms * cosine), first - 1)[:first]
+            reach = self.x[likely] @ unit(q[None, :])[0][0]
+            level = np.partition(reach, max(0, first - self.k - 1))[max(0, first - self.k - 1)]
+            lack = level / self.norms - cosine + np.arange(n) * 1e-12  # ties to the vector with the least id
+            found = np.sort(np.argpartition(lack, m - 1)[:m])
         else:
             found = np.arange(n)
         score = (self.x[found] * q).sum(axis=1)
@@ -126,12 +157,11 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == dims.d)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, asking, longest = rows.agg(F.count("*"), F.count_if("asks"), F.max(norm)).first()
+    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     h = F.xxhash64("v")
     some = rows.where(h / F.lit(2.0**64) + 0.5 <= min(1.0, 8.0 * pivots / n)).select(h.alias("h"), "v").groupBy("h").agg(F.first("v").alias("v"))
     pool = np.array([r.v for r in some.orderBy("h").limit(4 * pivots).collect()]).reshape(-1, dims.d)
-    shared = spark.sparkContext.broadcast((apart(lift(pool, longest), pivots), longest))
+    shared = spark.sparkContext.broadcast(apart(unit(pool)[0], pivots) if len(pool) else pool)
     ni, nq = -(-n // INDEX_BLOCK), max(1, -(-asking // QUERY_BLOCK))
     pair = F.struct("vec_id", "v")
     spread = lambda name, m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
@@ -142,14 +172,15 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     right = asked.select("qb", "asked", spread("ib", ni)).repartition(parts, "ib", "qb")
 
     def run(batches):
-        marks, longest = shared.value
+        marks = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, x = matrix(batch.column("index")[i].values)
-                block = Posted(ids, x, marks, longest, prefix, k)
+                block = Posted(ids, x, marks, prefix, k)
                 ids, x = matrix(batch.column("asked")[i].values)
-                unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                mine = weights(np.column_stack((unit, np.zeros(len(x)))), marks, prefix)
+                units = unit(x)[0]
+                mine = weights(units, marks, prefix)
+                block.learn(units, mine)
                 found = [block.nearest(*q, fraction, min_candidates) for q in zip(ids, x, mine, strict=True)]
                 if found:
                     columns = [np.repeat(ids, [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
