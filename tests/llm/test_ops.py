@@ -399,6 +399,18 @@ def test_chunk_boundaries_resist_shifts():
     assert cuts[0][0] == 0 and cuts[-1][1] == 299 and all(x[1] + 1 == y[0] for x, y in zip(cuts, cuts[1:], strict=False))
 
 
+@pytest.mark.parametrize("gap", ["", "\n"])
+def test_every_shared_block_of_two_lines_or_more_is_found(gap):
+    rng = random.Random(4)
+    fresh = lambda n: [f"line {rng.randrange(10**12)}{gap}" for _ in range(n)]
+    for n in range(2, 11):
+        block = fresh(n)
+        texts = ["\n".join([*fresh(rng.randrange(5, 15)), *block, *fresh(8)]) for _ in range(2)]
+        gone = brute_lines(list(enumerate(texts)))
+        lines = texts[1].split("\n")
+        assert not gone[0] and [lines[k] for k in sorted(gone[1]) if lines[k]] == [x.strip() for x in block]
+
+
 def test_equal_hashes_of_different_bytes_are_kept(spark, monkeypatch):
     monkeypatch.setattr(op7_lines.xxhash, "xxh3_128_digest", lambda b: b"0" * 16)
     rows = [(1, "a\nb\nc"), (2, "d\ne\nf"), (3, "a\nb\nc")]
