@@ -272,18 +272,89 @@ def test_contamination_tolerates_substitutions(spark):
     assert got[4, 7].n_matches == 40 and got[1, 7].n_tokens >= 33
 
 
-def test_contamination_in_blocks_is_the_same(spark, sf_dir, monkeypatch):
-    whole = registry.queries()["op4_decontaminate"](spark, sf_dir).collect()
-    monkeypatch.setattr(op4_decontaminate, "BLOCK", 200)
-    assert sorted(whole) == sorted(registry.queries()["op4_decontaminate"](spark, sf_dir).collect())
+def brute_overlaps(texts, items, size=13, share=0.8):
+    """Pairs with a window of `size` tokens, or the whole item, of which enough match, on any diagonal."""
+    out = set()
+    for i, text in texts:
+        doc = np.array(words_of(text))
+        for k, item in items:
+            want = np.array(words_of(item))
+            m = min(size, len(want))
+            for diagonal in range(m - len(want), len(doc) - m + 1):
+                a, b = max(0, diagonal), min(len(doc), diagonal + len(want))
+                total = np.concatenate(([0], np.cumsum(doc[a:b] == want[a - diagonal : b - diagonal])))
+                if b - a >= m and (total[m:] - total[:-m] >= share * m).any():
+                    out.add((i, k))
+    return out
+
+
+def test_contamination_equals_brute_force_on_all_diagonals(spark):
+    rng = random.Random(21)
+    items = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(rng.choice([13, 14, 16, 20, 45])))) for k in range(12)]
+    texts = []
+    for i in range(60):
+        words = items[rng.randrange(12)][1].split()
+        for at in rng.sample(range(len(words)), rng.choice([0, 0, 1, 1, 2])):
+            words[at] = "other"
+        part = words[rng.randrange(3) :][: rng.choice([8, 13, 60])]
+        texts.append((i, " ".join([f"t{rng.randrange(300)}" for _ in range(rng.randrange(30))] + part + [f"t{rng.randrange(300)}" for _ in range(9)])))
+    docs_, items_ = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_overlaps(texts, items)
+    got = {(r.doc_id, r.item_id) for r in op4_decontaminate.contamination(docs_, items_).collect()}
+    assert got <= want and len(want - got) <= 0.02 * len(want) and len(want) > 30
+
+
+@pytest.mark.parametrize("changed", range(13))
+def test_one_substitution_hides_no_item(changed):
+    item = np.arange(100, 113, dtype=np.uint64)
+    doc = np.concatenate((np.arange(9), item, np.arange(5))).astype(np.uint64)
+    doc[9 + changed] = 7
+    start, size, matches = op4_decontaminate.overlap(doc, item, 9, 13)
+    assert (start, size, matches) == (9, 13, 12)
+
+
+@pytest.mark.parametrize("unit", ["0", "a b", "x y z w"])
+def test_repeated_words_are_searched_quickly(unit):
+    import time
+
+    import pyarrow as pa
+
+    item = " ".join([unit] * (1000 // len(unit.split())))
+    index = op4_decontaminate.index_of([(1, op4_decontaminate.tokens(pa.array([item], pa.large_string())).hashes)])
+    texts = pa.array([" ".join([unit] * (2000 // len(unit.split())))], pa.large_string())
+    op4_decontaminate.search(index, texts, 13)
+    began = time.perf_counter()
+    found = op4_decontaminate.search(index, texts, 13)
+    assert time.perf_counter() - began < 0.1
+    assert found[0][3] == found[0][4] == len(item.split())
+
+
+def test_repetitive_texts_in_both_ways(spark):
+    rows = [(1, "0 " * 3000), (2, ("- " * 14 + "end ") * 300), (3, None), (None, "0 " * 40 + "tail"), (1, "0 " * 3000), (4, "0 " * 12)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "0 " * 500), (2, ("- " * 14 + "end ") * 20), (2, "0 0 0 0"), (None, "0 " * 20 + "tail")], "item_id long, text string")
+    one = op4_decontaminate.contamination(docs_, items).collect()
+    two = op4_decontaminate.contamination(docs_, items, index_bytes=0).collect()
+    assert sorted(one, key=repr) == sorted(two, key=repr)
+    best = {(r.doc_id, r.item_id, r.item_tokens): r.n_matches for r in one}
+    assert best[1, 1, 500] == 500 and best[2, 2, 300] == 300 and best[None, None, 21] == 21 and (4, 1, 500) not in best and best[4, 2, 4] == 4
+    assert sum(r.doc_id == 1 and r.item_id == 1 for r in one) == 2
+
+
+def test_contamination_by_a_table_of_seeds_is_the_same(spark, sf_dir):
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")]
+    one, two = (op4_decontaminate.contamination(*tables, index_bytes=b).collect() for b in (1 << 30, 0))
+    assert len(one) > 5 and sorted(one) == sorted(two)
 
 
 def test_contamination_on_odd_rows(spark, odd):
     items = clashing(odd.select(F.col("doc_id").alias("item_id"), "text"))
     got = op4_decontaminate.contamination(odd, items).collect()
     assert {(10, 11), (12, 10), (4, 5)} <= {(r.doc_id, r.item_id) for r in got}
-    assert op4_decontaminate.contamination(odd.limit(0), items).count() == 0
-    assert op4_decontaminate.contamination(odd, items.limit(0)).count() == 0
+    assert sorted(got, key=repr) == sorted(op4_decontaminate.contamination(odd, items, index_bytes=0).collect(), key=repr)
+    for size in (0, 1 << 30):
+        assert op4_decontaminate.contamination(odd.limit(0), items, index_bytes=size).count() == 0
+        assert op4_decontaminate.contamination(odd, items.limit(0), index_bytes=size).count() == 0
 
 
 # ---------------------------------------------------------------- 5
