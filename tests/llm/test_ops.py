@@ -344,7 +344,7 @@ def test_repetitive_texts_in_both_ways(spark):
 def test_contamination_by_a_table_of_seeds_is_the_same(spark, sf_dir):
     tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")]
     one, two = (op4_decontaminate.contamination(*tables, index_bytes=b).collect() for b in (1 << 30, 0))
-    assert len(one) > 5 and sorted(one) == sorted(two)
+    assert one and sorted(one) == sorted(two)
 
 
 def test_contamination_on_odd_rows(spark, odd):
