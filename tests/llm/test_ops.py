@@ -360,28 +360,109 @@ def test_contamination_on_odd_rows(spark, odd):
 # ---------------------------------------------------------------- 5
 
 
-def test_html_extraction_equals_the_article(spark, sf_dir):
+def article_of(page):
     import html
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    m = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
+    inner = re.sub(r"</?(p|h1)\b[^>]*>|<br>", " ", m[1]) if m else ""
+    return " ".join(html.unescape(re.sub(r"<[^>]*(?:>|\Z)", "", inner)).split())
 
-    def article(page):
-        m = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
-        inner = re.sub(r"</?(p|h1)\b[^>]*>|<br>", " ", m[1]) if m else ""
-        return " ".join(html.unescape(re.sub(r"<[^>]*(?:>|\Z)", "", inner)).split())
 
+def test_html_extraction_equals_the_article(spark, sf_dir):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = registry.queries()["op5_html"](spark, sf_dir).collect()
-    assert {r.page_id: r.text for r in got} == {i: article(p) for i, p in pages.items()}
+    assert {r.page_id: r.text for r in got} == {i: article_of(p) for i, p in pages.items()}
     assert all(r.n_chars == len(r.text) for r in got)
 
 
-PAGE = """<html><head><title>T</title></head><body class=x><div class="cookie-notice">We use</div><header><h1>Site</h1></header>
-<div id="menu"><a href=/>Home</a></div><div class="post"><h2>Head &amp; more</h2><p>One<b>two</b> three<br>four<p>five &lt;i&gt;</div>
-<form><input>Name</form><div class="comments"><p>First!</p></div><aside>Ad</aside><script>if (a < b) { "</p>" }</script></body></html>"""
-
-
-def test_html_without_an_article_element():
-    assert op5_html.main_text(PAGE, {}) == "Head & more Onetwo three four five <i>"
+def without_names(page, classes):
+    """The page with neutral names in place of article, nav, footer and the advert's class."""
+    names = {"article": "x3", "nav": "x1", "footer": "x4"}
+    for name, kind in names.items():
+        page = page.replace(f"<{name}>", f'<div class="{kind}">' if classes else "<div>").replace(f"</{name}>", "</div>")
+    return page.replace('<div class="ad">', '<div class="x2">' if classes else "<div>")
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_html_style_tree_decides_without_names(spark, sf_dir, classes):
+    """No element or class tells what is the article; with the tree off not one page is right."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r.html]
+    neutral = [(i, u, without_names(p, classes)) for i, u, p in rows]
+    got = {r.page_id: r.text for r in op5_html.extract(spark.createDataFrame(neutral, "page_id long, url string, html string")).collect()}
+    assert got == {i: article_of(p) for i, _, p in rows}
+    assert not any(op5_html.main_text(p) == got[i] for i, _, p in neutral)
+
+
+def plain_style_tree(pages):
+    """The nodes to remove by host, and of all hosts, in plain Python. pages: (host, page)."""
+    from math import log
+
+    seen, words = Counter(), Counter()
+    for host, page in pages:
+        for node, above, container, kind, value, size in op5_html.Page(page).observations():
+            seen[host, node, above, container, kind, value] += 1
+            words[host, node, above, container] += size
+
+    def importances(of):
+        counts, size = Counter(), Counter()
+        for (host, *rest), k in seen.items():
+            counts[of(host), *rest] += k
+        for (host, *rest), k in words.items():
+            size[of(host), *rest] += k
+        groups = defaultdict(list)
+        for (*node, kind, _), k in counts.items():
+            groups[tuple(node), kind].append(k)
+        out = {}
+        for node, total in size.items():
+            value = {}
+            for kind in "sc":
+                m = sum(groups[node, kind])
+                value[kind] = m, 1.0 if m <= 1 else 1 - sum(k * log(k) for k in groups[node, kind]) / (m * log(m))
+            out[node] = [value["s"][0], total / value["s"][0], value["s"][1], *value["c"]]
+        return out
+
+    own, every = importances(lambda h: h), importances(lambda h: None)
+    for (_, *node), v in own.items():
+        usual = every[None, *node]
+        for c, m in ((1, v[0]), (2, v[0]), (4, v[3])):
+            v[c] = (m * v[c] + op5_html.PRIOR * usual[c]) / (m + op5_html.PRIOR)
+
+    def low(nodes):
+        most, out = defaultdict(float), defaultdict(set)
+        for (host, _, above, _), v in nodes.items():
+            most[host, above] = max(most[host, above], v[1] * v[4])
+        for (host, node, above, container), v in nodes.items():
+            importance = op5_html.VOLUME * (v[1] * v[4] / most[host, above] if most[host, above] else 0) + (1 - op5_html.VOLUME) * v[2]
+            if importance < op5_html.LOW if container else above and v[4] < op5_html.LOW_TEXT:
+                out[host].add(node)
+        return out
+
+    return low(own), low(every)[None]
+
+
+def test_html_equals_a_plain_style_tree(spark):
+    """Hosts of 1 to 40 pages with menus, notices that repeat, adverts and articles under names that tell nothing."""
+    rng, rows = random.Random(6), []
+    for h, n in enumerate((1, 2, 3, 8, 40)):
+        notice = " ".join(sentence(rng, 9) for _ in range(4))
+        for _ in range(n):
+            body = "".join(f"<p>{sentence(rng, rng.randrange(4, 30))}</p>" for _ in range(rng.randrange(1, 9)))
+            page = f"<body><div class=m><ul>{'<li>Home</li>' * rng.randrange(3, 5)}</ul></div><div class=n>{notice}</div><div class=w><div class=t><h1>{sentence(rng, 4)}</h1>{body}</div><div class=s>{sentence(rng, 3)}</div></div><p>All rights reserved</p></body>"
+            rows.append((len(rows), f"http://h{h}.example/{len(rows)}", page))
+    own, usual = plain_style_tree([(u.split("/")[2], p) for _, u, p in rows])
+    want = {i: op5_html.main_text(p, own[u.split("/")[2]], usual) for i, u, p in rows}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for broadcast in (op5_html.REMOVED, 0):
+        assert {r.page_id: r.text for r in op5_html.extract(df, broadcast=broadcast).collect()} == want
+    assert all("Home" not in t and "All rights" not in t for i, t in want.items() if i >= 14)
+
+
+PAGE = """<html><head><title>T</title></head><body class=x><header><h1>Site</h1></header><div class="post"><h2>Head &amp; more</h2><p>One<b>two</b> three<br>four<p>five &lt;i&gt;</div>
+<form><input>Name</form><div class="comments"><p>First!</p></div><div role=navigation>Go</div><nav>Home</nav><aside>Ad</aside><script>if (a < b) { "</p>" }</script></body></html>"""
+
+
+def test_html_leaves_out_what_html_says_is_no_article():
+    assert op5_html.main_text(PAGE) == "Head & more Onetwo three four five <i>"
 
 
 def test_html_style_tree_removes_unmarked_boilerplate(spark):
@@ -391,12 +472,25 @@ def test_html_style_tree_removes_unmarked_boilerplate(spark):
     assert {r.page_id: r.text for r in got} == {i: " ".join(text_of(i, 1).split()) for i in range(40)}
 
 
+def test_html_of_any_depth_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert op5_html.main_text("<div>" * 100_000 + "deep") == "deep"
+    assert time.perf_counter() - began < 5
+    began = time.perf_counter()
+    broken = op5_html.Page("<div>t" * 20_000 + "<p>" * 20_000 + "<li>x" * 20_000 + "</b></q>" * 20_000 + "<x><p>" * 20_000 + "<td>y" * 20_000)
+    assert len(list(broken.observations())) > 20_000
+    assert time.perf_counter() - began < 10
+
+
 def test_html_on_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "<p"), (4, "http://a/", "plain & text"), (5, "http://a/", "<div>" * 3000 + "deep"), (None, "http://a/", "<p>a<p>b"), (7, "http://a/", "<nav>x</nav>")]
     df = clashing(spark.createDataFrame(rows * 2, "page_id long, url string, html string"))
-    got = {r.page_id: r.text for r in op5_html.extract(df).collect()}
-    assert got == {1: "", 2: "", 3: "", 4: "plain & text", 5: "deep", None: "a b", 7: ""}
-    assert op5_html.extract(df.limit(0)).count() == 0
+    for broadcast in (op5_html.REMOVED, 0):
+        got = op5_html.extract(df, broadcast=broadcast).collect()
+        assert len(got) == 14 and {r.page_id: r.text for r in got} == {1: "", 2: "", 3: "", 4: "plain & text", 5: "deep", None: "a b", 7: ""}
+        assert op5_html.extract(df.limit(0), broadcast=broadcast).count() == 0
 
 
 # ---------------------------------------------------------------- 6
