@@ -513,16 +513,70 @@ def test_language_model_ignores_held_out_labels(spark, docs):
     assert sorted(op6_language.identify(docs).collect()) == sorted(op6_language.identify(changed).collect())
 
 
-def test_kernel_is_the_share_of_common_ngrams():
-    codes, flags = op6_language.letter_codes(), np.zeros(sum(op6_language.SIZES), dtype=np.uint8)
-    grams = lambda t: (op6_language.present(t, codes, flags), set(np.flatnonzero(flags).tolist()))[1]
+def plain_ngrams(t):
+    t = " " + re.sub(r"[^\w]+|[\d_]+", " ", t.lower())
+    t = re.sub(" +", " ", t)
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
 
-    def plain(t):
-        t = " " + re.sub(r"[^a-zäöüß]+", " ", t.lower())
-        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
 
-    for a, b in [("Hello, you", "hello YOU there"), ("straße", "Straßen 12"), ("a", "b")]:
-        assert len(grams(a)) == len(plain(a)) and len(grams(a) & grams(b)) == len(plain(a) & plain(b))
+WORDS = {
+    "ru": "что это который быть весь год человек только время она мочь когда другой даже под если", "uk": "що це який бути весь рік людина тільки час вона могти коли інший навіть під якщо їх є",
+    "el": "και το να του που είναι για την από με στο ένα δεν αυτό θα στην", "ar": "في من على أن هذا كان التي الذي إلى عن مع هذه كل بعد ما لا",
+    "zh": "的 是 我们 他们 这个 中国 时间 可以 没有 自己 工作 问题 发展 社会 经济", "ja": "の です ます これは それは ある いる 日本 時間 ない こと もの 人 私は でした ました",
+    "en": "the of and to in is that for it with was on are as this", "de": "der die und in den von zu das mit sich des auf für ist im",
+}
+
+
+def made_texts(seed, n):
+    rng = random.Random(seed)
+    return [(lang, " ".join(rng.choice(w.split()) for _ in range(rng.randrange(4, 30)))) for lang, w in WORDS.items() for _ in range(n)]
+
+
+def test_languages_of_every_script_are_told_apart(spark):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(made_texts(1, 80))]
+    got = op6_language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    lang = {i: x for i, _, x in rows}
+    assert len(got) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.98 * len(got)
+
+
+def test_a_language_not_learned_has_score_0(spark):
+    rows = [(i, text, lang if lang in ("en", "de") else None) for i, (lang, text) in enumerate(made_texts(2, 30))]
+    got = op6_language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    known = {i for i, _, lang in rows if lang}
+    assert all((r.score > 0) == (r.doc_id in known) and r.lang_pred in ("en", "de") for r in got)
+
+
+def test_kernel_ridge_regression_equals_a_plain_one():
+    letters = op6_language.lower_letters()
+    texts = made_texts(3, 12)
+    grams = op6_language.Grams(letters)
+    model = op6_language.fit([(lang, np.sort(grams.of(t)[0])) for lang, t in texts], 16, 1e-3)
+    langs = sorted(WORDS)
+    chosen = [t for lang in langs for t in [t for x, t in texts if x == lang][:2]]
+    sets = lambda ts: [plain_ngrams(t) for t in ts]
+    kernel = lambda a, b: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+    marks = sets(chosen)
+    value, vector = np.linalg.eigh(kernel(marks, marks))
+    root = vector / np.sqrt(value)
+    x, y = kernel(sets([t for _, t in texts]), marks) @ root, np.array([[lang == own for lang in langs] for own, _ in texts], dtype=float)
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    w = np.linalg.solve(xc.T @ xc / 12 + 1e-3 * np.eye(x.shape[1]), xc.T @ yc / 12)
+    asked = [t for _, t in made_texts(4, 9)]
+    want = (kernel(sets(asked), marks) @ root - x.mean(0)) @ w + y.mean(0)
+    got = op6_language.score(model, letters, asked)
+    assert [lang for lang, _ in got] == [langs[k] for k in want.argmax(1)]
+    assert [s for _, s in got] == pytest.approx(np.clip(want.max(1), 0, 1).tolist(), abs=0.02)  # hashes may collide
+
+
+def test_ngrams_are_distinct_and_those_of_the_whole_text():
+    grams = op6_language.Grams(op6_language.lower_letters())
+    long = " ".join(t for _, t in made_texts(5, 900))
+    assert len(long) > 1 << 18
+    for t in ("Hello, you", "hello YOU there", "straße", "12 Привет-привет! 日本の時間", "a", long, "x" * 600_000, "Hello, you"):
+        found, any_letter = grams.of(t)
+        assert any_letter and len(found) == len(set(found.tolist()))
+        assert 0.98 * len(plain_ngrams(t)) <= len(found) <= len(plain_ngrams(t))
+    assert not grams.of("12 !?")[1] and not grams.of("")[1]
 
 
 def test_language_on_odd_rows(spark, odd):
