@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
+from textloom.llm import components
 from textloom.llm import near_duplicates as nd
 from textloom.llm import (
     op1_simhash, op2_substring, op3_secrets, op4_decontaminate, op5_html, op6_language, op7_lines, op8_neighbours, op9_mixing, op10_urls, registry,
@@ -866,6 +867,7 @@ def test_pipeline_stages(spark, sf_dir, docs):
         after = {r.doc_id: r for r in at.collect()}
         if name == "language":
             assert set(after) == {i for i, r in before.items() if any(c.isalpha() for c in r.text or "")}
+            assert {i: r.lang for i, r in after.items()} == {r.doc_id: r.lang_pred for r in op6_language.identify(docs).collect() if r.doc_id in after}
         if name == "lines":
             gone, texts = brute_lines(rows), dict(rows)
             want = {i: "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone[i]) for i in before}
@@ -881,15 +883,39 @@ def test_pipeline_stages(spark, sf_dir, docs):
     assert {r.doc_id for r in got} == set(after) and sum(r.taken for r in got) <= sum(r.size for r in got)
 
 
-@pytest.mark.parametrize("k", range(4))
-def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, k):
-    _, stage = corpus_pipeline.STAGES[k]
-    rows = odd.select(*corpus_pipeline.COLUMNS)
-    assert stage(spark, rows, sf_dir).columns == list(corpus_pipeline.COLUMNS)
-    assert stage(spark, rows, sf_dir).count() <= len(odd_rows())
+@pytest.mark.parametrize("k", range(5))
+@pytest.mark.parametrize("extra", [False, True])
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, k, extra):
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = odd if extra else odd.select(*corpus_pipeline.COLUMNS)
+    got = stage(spark, rows, sf_dir)
+    assert got.columns == (list(corpus_pipeline.COLUMNS) if k < 4 else ["doc_id", "source", "size", "source_size", "target", "taken"])
+    assert got.count() <= len(odd_rows()) if k < 4 else got.count() == len(odd_rows())
     assert stage(spark, rows.limit(0), sf_dir).count() == 0
 
 
+def test_pipeline_run_on_odd_rows(spark, sf_dir, odd, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    odd.write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in odd_rows()} and not {1, 2, 3, 7} & {r.doc_id for r in got}
+    odd.limit(0).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_pipeline_language_drops_what_is_in_no_language(spark, sf_dir):
+    rows = [(i, text, lang if lang in ("en", "de") else None, "s", len(text)) for i, (lang, text) in enumerate(made_texts(6, 40))]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows if r[2]} and all(r.lang in ("en", "de") for r in got)
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        stars(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"), Scratch(spark, "test"))
+
+
 def test_registry_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()] == list(range(1, 11))
     assert json.dumps(registry.oracle_sql()) and isinstance(T.StructType.fromDDL(DOCS), T.StructType)

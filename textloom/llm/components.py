@@ -42,4 +42,7 @@ def stars(links: DataFrame, scratch: Scratch) -> DataFrame:
         before, state = state, _state(edges)
         if state == before:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

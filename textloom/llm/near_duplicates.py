@@ -200,8 +200,9 @@ def _shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents to remove: id, th (xxhash64 of the text), kept_id.
 
-    kept_id is the document that stays in their stead: the least id of the group, a null id before
-    all. Texts with the same words are alike whatever their case and white space; a text of fewer
+    A group is what links of at least the similarity connect, directly or by a chain, so a text may
+    go that is less alike to the one that stays than to another that goes. kept_id is the document
+    that stays: the least id of the group, a null id before all. Texts with the same words are alike whatever their case and white space; a text of fewer
     words than a shingle is one shingle; texts without words are alike. Rows equal in id and text
     are one document and stay or go together. Texts of any length are read whole. An empty table
     gives an empty result. Other columns are ignored.
