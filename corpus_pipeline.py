@@ -15,15 +15,26 @@ from textloom.llm.op9_mixing import weighted_fair_mix
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source", "n_chars")
 
+# Of all stages: other columns than those of documents are left out, rows that repeat are treated
+# alike, an empty table gives an empty one, and texts of any length are read whole.
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without a letter go."""
+    """Documents in a language that the labels teach, which becomes their `lang`.
+
+    Null texts and those without a letter go, as do those that share hardly an n-gram with any
+    landmark (score 0). Without any label to learn from no language is known and all documents go.
+    """
     found = identify(docs.withColumn("lang_", F.col("lang")), lang_col="lang_", carry=("text", *OTHERS))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that occur earlier; those with nothing left go."""
+    """Documents without chunks of lines that occur earlier; those with nothing left go.
+
+    `n_chars` of a document that loses lines is that of what is left. Null and empty texts stay.
+    """
     cut = line_dedup(docs, carry=OTHERS)
     shorter = F.col("n_removed") > 0
     kept = cut.where(~shorter | (F.length(F.trim("text")) > 0))
@@ -31,18 +42,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the least id.
+
+    Texts without words, null ones included, are one group. Rows equal in id and text are one
+    document and stay or go together.
+    """
     return without(docs, near_duplicates(docs)).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark."""
+    """Documents that hold no passage of a benchmark. Null and empty texts hold none."""
     found = contamination(docs, read(spark, sf_dir, "benchmark"))
     return without(docs, found.select(F.col("doc_id").alias("id"), "th")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document. Null texts have size 0; the null source is one of its own."""
     return weighted_fair_mix(docs)
 
 
