@@ -781,10 +781,140 @@ def test_templates_generalise_merge_and_reject(spark):
     rules = (("block", "bad.x", "/spam/a"), ("allow", "bad.x", "/news/a"))
     urls = [f"http://bad.x/spam/a{i}" for i in range(40)] + [f"http://bad.x/spam/b{i}" for i in range(40)] + [f"http://bad.x/news/a{i}" for i in range(40)] + [f"http://bad.x/news/c{i}" for i in range(20)]
     urls += [f"http://bad.x/u{chr(97 + i % 26)}{chr(97 + i // 26)}/9" for i in range(200)]
+    urls += [f"http://other.y/{k}/{i}.html" for k in ("one", "two", "three", "four") for i in range(30)]
     got = op10_urls.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
     by_path = {r.path: r for r in got}
     assert by_path["/spam/b1"].verdict == "block" and by_path["/news/c1"].verdict == "allow"
     assert by_path["/uaa/9"].template == "/*/*" and by_path["/spam/b1"].purity > 0.8 > 0.2 > by_path["/news/c1"].purity
+    assert by_path["/four/1.html"].template == by_path["/two/7.html"].template == "/*/*.html"  # a chain of four
+
+
+def test_labels_of_a_shape_count_on_other_hosts(spark):
+    rules = (("block", "a.x", "/spam/"), ("allow", "a.x", "/news/"))
+    urls = [f"http://a.x/{k}/{i}" for k in ("spam", "news") for i in range(50)] + [f"http://b.y/{k}/{i}" for k in ("spam", "news", "more") for i in range(3)]
+    got = {r.host + r.path: r for r in op10_urls.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert got["b.y/spam/1"].verdict == "block" and got["b.y/news/1"].verdict == got["b.y/more/1"].verdict == "allow"
+    assert got["b.y/spam/1"].rule is None and got["b.y/spam/1"].template == "/spam/*"
+
+
+def plain_segments(path):
+    every = [x for x in re.sub("[0-9]+", "*", path).split("/") if x]
+    return [x + "+" if k + 1 < len(every) and every[k + 1] == x else x for k, x in enumerate(every) if not k or every[k - 1] != x]
+
+
+def plain_kind(x):
+    return "end" if not x else "number" if x == "*" else "file" if re.fullmatch(r"\*\.[^*]*", x) else "mixed" if "*" in x else "word"
+
+
+def plain_templates(rows):
+    """rows (host, path, ruled) -> {(host, path): (template, purity)}, by recursion."""
+    o, seen, bad, total = op10_urls, Counter(), Counter(), Counter()
+    for host, path, ruled in rows:
+        shape = re.sub("[0-9]+", "*", path)
+        total[host, shape] += 1
+        seen[host, shape] += ruled is not None
+        bad[host, shape] += ruled == "block"
+    all_seen, all_bad = Counter(), Counter()
+    for (host, shape), n in seen.items():
+        all_seen[shape] += n
+        all_bad[shape] += bad[host, shape]
+    base = sum(all_bad.values()) / sum(all_seen.values()) if sum(all_seen.values()) else 0.0
+    out = {}
+
+    def far(host, shape):
+        n = all_seen[shape] - seen[host, shape]
+        weight = min(1.0, o.ELSEWHERE / n) if n else 0.0
+        return weight * n, weight * (all_bad[shape] - bad[host, shape])
+
+    def walk(host, prefix, leaves, purity):
+        rests = [rest for _, rest in leaves]
+        at = 0
+        while all(len(r) > at and r[at] == rests[0][at] for r in rests):
+            at += 1
+        prefix += "".join("/" + x for x in rests[0][:at])
+        if all(r == rests[0] for r in rests):
+            for shape, _ in leaves:
+                out[host, shape] = prefix, purity
+            return
+        kids = defaultdict(list)
+        for shape, rest in leaves:
+            kids[rest[at] if len(rest) > at else ""].append((shape, rest[at + 1 :]))
+        size = {k: sum(total[host, s] for s, _ in v) for k, v in kids.items()}
+        label = {k: "*" if k and size[k] < o.RARE * sum(size.values()) and len(kids) > 1 / o.RARE else k for k in kids}
+        branches = []
+        for name in set(label.values()):
+            mine = [x for k, v in kids.items() if label[k] == name for x in v]
+            n = sum(total[host, s] for s, _ in mine)
+            counts = Counter()
+            for s, rest in mine:
+                counts[plain_kind(rest[0] if rest else "")] += total[host, s]
+            b = {"label": name, "kind": plain_kind(name), "n": n, "own_seen": sum(seen[host, s] for s, _ in mine), "own_bad": sum(bad[host, s] for s, _ in mine), "kinds": [counts[k] for k in o.KINDS]}
+            b["far_seen"], b["far_bad"] = (sum(total[host, s] * far(host, s)[i] for s, _ in mine) / n for i in (0, 1))
+            branches.append(b | {"seen": b["own_seen"] + b["far_seen"], "bad": b["own_bad"] + b["far_bad"]})
+        into = {lab: (name, p) for lab, name, p in o.decided(branches, purity)}
+        groups = defaultdict(list)
+        for k, v in kids.items():
+            groups[into[label[k]]] += [(s, r, k) for s, r in v]
+        for (name, p), mine in groups.items():
+            if name:
+                walk(host, f"{prefix}/{name}", [(s, r) for s, r, _ in mine], p)
+            else:
+                out.update({(host, s): (prefix, p) for s, _, _ in mine})
+
+    for host in {h for h, _ in total}:
+        mine = [s for h, s in total if h == host]
+        n = sum(total[host, s] for s in mine)
+        fs, fb = (sum(total[host, s] * far(host, s)[i] for s in mine) / n for i in (0, 1))
+        root = (sum(bad[host, s] for s in mine) + o.SMOOTHING * (fb + o.SMOOTHING * base) / (fs + o.SMOOTHING)) / (sum(seen[host, s] for s in mine) + o.SMOOTHING)
+        walk(host, "", [(s, plain_segments(s)) for s in mine], root)
+    return {(h, p): out[h, re.sub("[0-9]+", "*", p)] for h, p, _ in rows}
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01", None])
+def test_urls_equal_a_plain_tree(spark, folder):
+    if folder:
+        pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    else:
+        rng = random.Random(12)
+        word = lambda n: rng.choice([f"s{chr(97 + k)}" for k in range(n)])
+        urls = [f"http://h{rng.randrange(3)}.example.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['es', 'en', 'de'])}/{word(26)}/{word(3)}/{rng.randrange(99)}{rng.choice(['', '/', '.html'])}" for _ in range(400)]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = op10_urls.judge_urls(pages).collect()
+    rules = {(r.host, r.path): r.rule for r in got}
+    verdict = {h + p: v for v, h, p in op10_urls.RULES}
+    rows = [(r.host, r.path, verdict.get(r.rule)) for r in got]
+    want = plain_templates(rows)
+    assert {(r.host, r.path): r.template for r in got} == {k: t for k, (t, _) in want.items()}
+    for r in got:
+        assert r.purity == pytest.approx(want[r.host, r.path][1])
+        assert r.verdict == (verdict.get(r.rule) or ("block" if want[r.host, r.path][1] >= op10_urls.REJECT else "allow"))
+    assert len(rules) == len(want)
+
+
+def test_urls_of_any_depth(spark):
+    deep = "http://h/" + "/".join(f"w{chr(97 + i % 26)}" for i in range(3000))
+    urls = [deep, deep, deep + "/x", deep + "/y", "http://h/" + "a/" * 5000, "http://h/a", "http://h/" + "z" * 100_000, "http://h//a//", None, "http://h/1/2/3"]
+    got = op10_urls.judge_urls(clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))).collect()
+    by_id = {r.page_id: r.template for r in got}
+    assert len(got) == len(urls) and by_id[2].startswith("/wa/wb/") and by_id[2].count("/") == 3001
+    assert by_id[4].count("/") == 1 and by_id[5] == by_id[7] and by_id[9] == "/*+"
+    assert plain_segments("/a/a/a/b//b/1/2") == ["a+", "b+", "*+"]
+
+
+def test_rejected_templates_agree_with_rules_held_out(spark):
+    """Every second labelled URL is hidden from the tree; what it rejects of them is mostly blocked by rule."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host, path = op10_urls.host_and_path(F.col("url"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), op10_urls.rule_of(host, path, op10_urls.RULES).alias("r"))
+    rows = rows.withColumn("known", (F.col("page_id") % 2 == 0) & F.col("r").isNotNull()).withColumn("shape", F.regexp_replace("path", "[0-9]+", "*"))
+    bad = (F.col("known") & (F.col("r.verdict") == "block")).cast("long")
+    shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(F.col("known").cast("long")).alias("seen"), F.sum(bad).alias("bad"))
+    scratch = Scratch(spark, "test")
+    found = rows.join(op10_urls.templates(scratch.write(shapes, "shapes"), scratch), ["host", "shape"])
+    held = found.where("not known and r is not null").select("purity", "r.verdict").collect()
+    rejected = [r.verdict == "block" for r in held if r.purity >= op10_urls.REJECT]
+    print("held out", len(held), "rejected", len(rejected), "precision", sum(rejected) / len(rejected), "of blocked", sum(rejected) / sum(r.verdict == "block" for r in held))
+    assert len(rejected) > 50 and sum(rejected) >= 0.9 * len(rejected)
 
 
 def test_urls_query_covers_all_pages(spark, sf_dir):
