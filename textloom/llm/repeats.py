@@ -28,30 +28,38 @@ def carried(carry: tuple[str, ...]) -> list[Column]:
 
 
 def occurrences(docs: DataFrame, pieces) -> DataFrame:
-    """pieces(text) yields (128-bit digest, first unit, last unit)."""
+    """pieces(text) gives arrays: both halves of a 128-bit hash, first unit, last unit."""
 
-    def frame(digests, ids, ths, firsts, lasts):
-        h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        return pd.DataFrame({"h1": h[:, 0], "h2": h[:, 1], "id": ids, "th": ths, "a": firsts, "b": lasts})
+    def frame(found):
+        ids, ths, parts = zip(*found, strict=True)
+        n = [len(p[0]) for p in parts]
+        h1, h2, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame({"h1": h1, "h2": h2, "id": np.repeat(np.array(ids, dtype=object), n), "th": np.repeat(np.array(ths, dtype=np.int64), n), "a": a, "b": b})
 
     def run(batches):
-        rows = [[], [], [], [], []]
+        found, held = [], 0
         for pdf in batches:
             for i, th, text in zip(pdf["id"], pdf["th"], pdf["text"], strict=True):
                 if not text:
                     continue
-                for digest, a, b in pieces(text):
-                    for column, value in zip(rows, (digest, i, th, a, b), strict=True):
-                        column.append(value)
-                if len(rows[0]) >= FLUSH:
-                    yield frame(*rows)
-                    rows = [[], [], [], [], []]
-        if rows[0]:
-            yield frame(*rows)
+                found.append((i, th, pieces(text)))
+                held += len(found[-1][2][0])
+                if held >= FLUSH:
+                    yield frame(found)
+                    found, held = [], 0
+        if held:
+            yield frame(found)
 
     return longs(as_text(docs.select("id", "th", "text")).mapInPandas(lean(run), "h1 long, h2 long, id string, th long, a int, b int"))
 
 
+def arrays(found) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(128-bit digest, first unit, last unit) of some pieces -> arrays for `occurrences`."""
+    rows = list(found)
+    h = np.frombuffer(b"".join(x for x, _, _ in rows), "<i8").reshape(-1, 2)
+    return h[:, 0], h[:, 1], np.array([a for _, a, _ in rows], dtype=np.int64), np.array([b for *_, b in rows], dtype=np.int64)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Ids go through pandas as text: there a null would turn long integers into floats."""
     return df.withColumn("id", F.col("id").cast("string"))
