@@ -263,13 +263,49 @@ def test_secret_scan_finds_tokens_and_drops_numbers(spark):
 
 def test_secret_scan_with_given_findings(spark):
     rows = spark.createDataFrame([(1, "ab12cd34ef56ab12cd34 x", "s")], "doc_id long, text string, source string")
-    findings = spark.createDataFrame([("", "q1w2e3r4t5y6u7i8o9p0", "", "s", 1)], "before string, value string, after string, path string, label int")
+    findings = spark.createDataFrame([("", "q1w2e3r4t5y6u7i8o9p0", "", "s", 1), (None, "q1w2e3r4t5y6u7i8o9p1", None, None, 1)], "before string, value string, after string, path string, label int")
     assert op3_secrets.scan(rows, findings=findings).first().is_secret
+    assert not op3_secrets.scan(rows, findings=findings.limit(0)).first().is_secret
+
+
+def as_documents(findings):
+    path = F.col("path").alias("source")
+    text = F.concat(F.lit("the first line\n"), "before", "value", "after", F.lit("\nand the last"))
+    return findings.select(F.monotonically_increasing_id().alias("doc_id"), text.alias("text"), path, "label", "value")
+
+
+def test_secret_forest_on_findings_held_out(spark):
+    """Precision and recall on findings that the forest has not seen, found again in texts."""
+    every = Scratch(spark, "test").write(op3_secrets.example_findings(spark), "findings")
+    held = F.pmod(F.xxhash64("value", "before"), F.lit(3)) == 0
+    docs_ = Scratch(spark, "test").write(as_documents(every.where(held)), "docs")
+    want = {r.doc_id: r.label for r in docs_.collect()}
+    got = {r.doc_id for r in op3_secrets.scan(docs_, findings=every.where(~held)).collect() if r.is_secret}
+    right = sum(want[i] for i in got)
+    print("held out", len(want), "precision", right / len(got), "recall", right / sum(want.values()))
+    assert len(want) > 500 and right >= 0.95 * len(got) and right >= 0.95 * sum(want.values())
+
+
+def test_secret_forest_learns_from_neighbouring_words(spark):
+    """The same values under two words, and the label hangs on the word alone."""
+    rng = random.Random(9)
+    make = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
+    rows = [(f"some {'vault' if k % 2 else 'build'} ", make(), " more", "s", k % 2) for k in range(200)]
+    findings = spark.createDataFrame(rows, "before string, value string, after string, path string, label int")
+    docs_ = spark.createDataFrame([(1, f"in the vault {make()} lies", "s"), (2, f"of that build {make()} is", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.is_secret for r in op3_secrets.scan(docs_, findings=findings).collect()} == {1: True, 2: False}
+
+
+def test_secret_candidates_under_names_with_a_prefix(spark):
+    texts = ["DB_PASSWORD=Tr0ub4dor&3x", 'client_secret = "Ab9$kk2!pq"', '"dbPassword": "Zq81-kk2!pq"', 'password  =  "Ab9$kk2!pq"']
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in op3_secrets.candidates(rows, "doc_id", "text", "source").collect()} == set(range(4))
 
 
 def test_secrets_query(spark, sf_dir, docs):
     got = {r.doc_id for r in registry.queries()["op3_secrets"](spark, sf_dir).collect()}
-    assert got == {r.doc_id for r in docs.collect() if re.search(r"""token = "[0-9a-fA-F]{40}""", r.text, re.I)}
+    planted = r"""token = "[0-9a-fA-F]{40}|AKIA[0-9A-Z]{16}|password=[0-9a-f]{18}"""
+    assert got == {r.doc_id for r in docs.collect() if re.search(planted, r.text, re.I)}
 
 
 def test_secrets_on_odd_rows(spark, odd):
