@@ -346,3 +346,27 @@ def test_round_robin_counts_a_key_once(spark):
     rows = spark.createDataFrame([("a", "k1", 3), ("a", "k2", 2), ("b", "k1", 9), ("b", "k3", 1)], "band string, key string, n int")
     got = [r.key for r in splits.round_robin(rows, "band", "key", [F.desc("n")], 3).orderBy("position").collect()]
     assert got == ["k1", "k2", "k3"]
+
+
+def test_learning_curve_scores_whole_folds(spark):
+    """The rows fitted are bounded; the F1 is that of a plain evaluation of the same machine on all rows of the fold."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], sorted(set(rng.choice(6, 3).tolist()) | {6 + i % 2 if rng.random() < 0.8 else 7 - i % 2}), i % 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, features array<int>, fold int")
+    setting = tsetlin.Setting(n_clauses=6, T=6, s=3.0, epochs=3)
+    got = {(r.fold, r.epoch): r for r in tsetlin.curve(df, 8, setting, (1,)).collect()}
+    bounded = tsetlin.curve(df, 8, setting, (1,), max_rows=60).collect()
+    assert len(bounded) == 9
+    for out in range(3):
+        fit, test = [r for r in rows if r[3] != out], [r for r in rows if r[3] == out]
+        x, y = tsetlin.matrix([r[2] for r in fit], 8), np.array(["ab".index(r[1]) for r in fit])
+        machine, z, true = tsetlin.Machine(setting, 8, 2, 1), tsetlin.matrix([r[2] for r in test], 8), np.array(["ab".index(r[1]) for r in test])
+        for e in range(1, 4):
+            machine.epoch(x, y)
+            inc = machine.included()
+            votes = np.stack([(((~z).astype(int) @ inc[c].T.astype(int) == 0) & inc[c].any(axis=1)) @ (machine.weight[c] * machine.sign) for c in (0, 1)], axis=1)
+            pred = votes.argmax(axis=1)
+            f1 = np.mean([2 * ((true == c) & (pred == c)).sum() / max(1, (true == c).sum() + (pred == c).sum()) for c in (0, 1)])
+            assert got[out, e].val_f1 == pytest.approx(f1) and got[out, e].included == inc.sum()

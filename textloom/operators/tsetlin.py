@@ -136,7 +136,11 @@ def train(rows: DataFrame, n_features: int, settings: dict[str, Setting], seeds=
 
 
 def curve(rows: DataFrame, n_features: int, setting: Setting, seeds=(1,), max_rows: int = 20_000) -> DataFrame:
-    """rows (doc_id, label, features, fold) -> seed, fold, epoch, val_f1, included, nonempty, changed."""
+    """rows (doc_id, label, features, fold) -> seed, fold, epoch, val_f1, included, nonempty, changed.
+
+    A model is fitted to max_rows rows at most, less those of its fold; after each epoch it is scored
+    on all rows of its fold.
+    """
     numbers = sorted(r[0] for r in rows.select("fold").distinct().collect())
     table = rows.sparkSession.createDataFrame([(int(s), int(k)) for s in seeds for k in numbers], "seed int, out int")
     few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -147,32 +151,32 @@ def curve(rows: DataFrame, n_features: int, setting: Setting, seeds=(1,), max_ro
         names = sorted(pdf["label"].unique())
         y = pdf["label"].map({c: k for k, c in enumerate(names)}).to_numpy()
         x = matrix(pdf["features"].tolist(), n_features)
-        test = (pdf["fold"] == out).to_numpy()
         machine, before, made = Machine(setting, n_features, len(names), seed), None, []
         for e in range(1, setting.epochs + 1):
-            machine.epoch(x[~test], y[~test])
+            machine.epoch(x, y)
             inc = machine.included()
-            votes = np.stack([_votes(machine, inc[c], c, x[test]) for c in range(len(names))], axis=1)
-            made.append((seed, out, e, macro(y[test], votes.argmax(axis=1)), int(inc.sum()), int(inc.any(axis=2).sum()), int(inc.sum() if before is None else (inc != before).sum())))
+            changed = int(inc.sum() if before is None else (inc != before).sum())
+            found = pd.DataFrame(machine.rows(names), columns=["clause_id", "class_idx", "class", "weight", "pos", "neg"])
+            made.append(found.assign(seed=seed, fold=out, epoch=e, included=int(inc.sum()), nonempty=int(inc.any(axis=2).sum()), changed=changed))
             before = inc
-        return pd.DataFrame(made, columns=["seed", "fold", "epoch", "val_f1", "included", "nonempty", "changed"])
-
-    spread = few.join(F.broadcast(table), F.lit(True))
-    return spread.groupBy("seed", "out").applyInPandas(run, "seed int, fold int, epoch int, val_f1 double, included int, nonempty int, changed int")
+        return pd.concat(made)
 
-
-def _votes(machine: Machine, included: np.ndarray, c: int, x: np.ndarray) -> np.ndarray:
-    missing = (~x).astype(np.float32) @ included.T.astype(np.float32)  # included literals that a row lacks
-    return ((missing == 0) & included.any(axis=1)) @ (machine.weight[c] * machine.sign)
-
-
-def macro(true: np.ndarray, pred: np.ndarray) -> float:
-    """Mean F1 over the classes that occur in the truth."""
-    scores = []
-    for c in np.unique(true):
-        tp = ((true == c) & (pred == c)).sum()
-        scores.append(2 * tp / max(1, (true == c).sum() + (pred == c).sum()))
-    return float(np.mean(scores))
+    spread = few.join(F.broadcast(table), F.lit(True)).where("fold is null or fold <> out")
+    keys = ["seed", "fold", "epoch", "included", "nonempty", "changed"]
+    models = spread.groupBy("seed", "out").applyInPandas(run, f"{C.SCHEMA}, seed int, fold int, epoch int, included int, nonempty int, changed int")
+    packed = models.groupBy(*keys).agg(F.collect_list(F.struct("class", "weight", "pos", "neg")).alias("clauses_"))
+    fired = F.filter("clauses_", lambda c: C.fires(F.col("features"), c["pos"], c["neg"]))
+    votes = lambda name: F.aggregate(F.filter("fired_", lambda c: c["class"] == name), F.lit(0), lambda a, c: a + c["weight"])
+    classes = F.array_distinct(F.transform("clauses_", lambda c: c["class"]))
+    best = F.array_min(F.transform("classes_", lambda name: F.struct((-votes(name)).alias("s"), name.alias("class"))))["class"]
+    scored = rows.join(F.broadcast(packed), "fold").withColumn("fired_", fired).withColumn("classes_", classes)
+    cells = scored.select(*keys, "label", best.alias("pred")).groupBy(*keys, "label", "pred").agg(F.count("*").alias("n"))
+    # a cell counts for its label and for its prediction, so a right one counts twice
+    side = lambda name, true: F.struct(F.col(name).alias("class"), F.lit(true).alias("true"))
+    right = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
+    each = cells.select(*keys, "n", right.alias("right"), F.explode(F.array(side("label", True), side("pred", False))).alias("x"))
+    each = each.groupBy(*keys, "x.class").agg((F.sum("right") / F.sum("n")).alias("f1"), F.max("x.true").alias("occurs"))
+    return each.where("occurs").groupBy(*keys).agg(F.avg("f1").alias("val_f1")).select("seed", "fold", "epoch", "val_f1", "included", "nonempty", "changed")
 
 
 def out_of_fold(rows: DataFrame, n_features: int, settings: dict[str, Setting], seeds=(1,), max_rows: int = 20_000) -> DataFrame:
