@@ -1,7 +1,7 @@
 """Binary features: n-gram and word presence, document frequency, vocabulary selection, literals.
 
-Terms are long tables (doc, term), never dense matrices. Statistics by class and fold come from
-one aggregation; a fold's own share is subtracted from the total instead of counting once a fold.
+Terms are long tables (doc, term), never dense matrices. Statistics by class come from one
+aggregation.
 """
 
 from __future__ import annotations
