@@ -370,3 +370,24 @@ def test_learning_curve_scores_whole_folds(spark):
             pred = votes.argmax(axis=1)
             f1 = np.mean([2 * ((true == c) & (pred == c)).sum() / max(1, (true == c).sum() + (pred == c).sum()) for c in (0, 1)])
             assert got[out, e].val_f1 == pytest.approx(f1) and got[out, e].included == inc.sum()
+
+
+def test_fold_vocabulary_never_sees_held_out_text(spark):
+    from textloom.plans.modelling import fold_vocabulary
+
+    rows = [(i, f"repo{i}", "a" if i % 2 else "b", ("common" if i % 2 else "other") + f"mark{i}") for i in range(10)]
+    rows += [(100 + i, "repo3", "a", "zqzqzq") for i in range(5)]  # only in one repository
+    docs = spark.createDataFrame(rows, "doc_id long, repo string, language string, text string")
+    folds = spark.createDataFrame([(f"repo{i}", 0, i % 5) for i in range(10)], "repo string, seed int, fold int")
+    found = fold_vocabulary(docs, folds, 200).collect()
+    assert {r.fold for r in found if "zq" in r.term} == {0, 1, 2, 4}  # repo3 is held out in fold 3
+    for fold in range(5):
+        ids = sorted(r.feature_id for r in found if r.fold == fold)
+        assert ids == list(range(len(ids)))
+
+
+def test_held_out_counts_are_those_of_the_other_folds(spark):
+    inside = [(0, 0, "t", "a", 2), (0, 1, "t", "a", 3), (0, 1, "u", "a", 4), (1, 0, "t", "a", 5)]
+    counts = spark.createDataFrame(inside, "seed int, fold int, term string, language string, df_c long")
+    got = {(r.seed, r.fold, r.term): r.df_c for r in features.held_out_counts(counts, 3, ("seed",)).collect()}
+    assert got == {(0, 0, "t"): 3, (0, 1, "t"): 2, (0, 2, "t"): 5, (0, 0, "u"): 4, (0, 2, "u"): 4, (1, 1, "t"): 5, (1, 2, "t"): 5}

@@ -1,7 +1,8 @@
 """Binary features: n-gram and word presence, document frequency, vocabulary selection, literals.
 
 Terms are long tables (doc, term), never dense matrices. Statistics by class come from one
-aggregation.
+aggregation; those of the rows outside a fold are the totals less the fold's own (`held_out_counts`),
+so a vocabulary for each fold costs no further look at the texts.
 """
 
 from __future__ import annotations
@@ -34,57 +35,65 @@ def class_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("term", "language").agg(F.count("*").alias("df_c"))
 
 
-def _with_totals(counts: DataFrame, rows: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """(term, language, df_c, df) and (language, n_c, n); the latter has a row for each class."""
-    total = counts.groupBy("term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
-    sizes = rows.groupBy("language").agg(F.count("*").alias("n_c"))
-    return counts.join(total, "term"), sizes.withColumn("n", F.sum("n_c").over(Window.partitionBy()))
+def held_out_counts(counts: DataFrame, n_folds: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, fold, term, language, df_c of the rows outside each fold, from df_c inside each (by, fold, term, language)."""
+    own = F.map_from_entries(F.collect_list(F.struct("fold", "df_c")))
+    total = counts.groupBy(*by, "term", "language").agg(F.sum("df_c").alias("every"), own.alias("own"))
+    spread = total.withColumn("fold", F.explode(F.array(*map(F.lit, range(n_folds)))))
+    rest = F.col("every") - F.coalesce(F.try_element_at("own", "fold"), F.lit(0))
+    return spread.select(*by, "fold", "term", "language", rest.alias("df_c")).where("df_c > 0")
 
 
-def rank_frequency(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
-    """rank, term, score: by document frequency, then by name."""
-    total = counts.groupBy("term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
-    top = total.orderBy(F.desc("df"), "term").limit(budget)
-    return _ranked(top.withColumn("score", F.col("df").cast("double")), [F.desc("score"), F.col("term")])
+def _with_totals(counts: DataFrame, rows: DataFrame, min_df: int, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(by, term, language, df_c, df) and (by, language, n_c, n); the latter has a row for each class."""
+    total = counts.groupBy(*by, "term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
+    sizes = rows.groupBy(*by, "language").agg(F.count("*").alias("n_c"))
+    return counts.join(total, [*by, "term"]), sizes.withColumn("n", F.sum("n_c").over(Window.partitionBy(*by)))
 
 
-def rank_chi2(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
-    """rank, term, score: the chi-square of presence counts against class shares, then by name.
+def rank_frequency(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, rank, term, score: by document frequency, then by name."""
+    total = counts.groupBy(*by, "term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
+    return _ranked(total.withColumn("score", F.col("df").cast("double")), [F.desc("df"), F.col("term")], budget, by)
+
+
+def rank_chi2(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, rank, term, score: the chi-square of presence counts against class shares, then by name.
 
     Sum over classes of (obs - exp)^2 / exp with exp = df n_c / n; a class without the term adds exp.
     """
-    counts, sizes = _with_totals(counts, rows, min_df)
+    counts, sizes = _with_totals(counts, rows, min_df, by)
     # sum (o - e)^2 / e = sum o^2 / e - df, so absent cells need no rows
     part = F.sum(F.col("df_c") * F.col("df_c") * F.col("n") / F.col("n_c") / F.col("df"))
-    score = counts.join(F.broadcast(sizes), "language").groupBy("term", "df").agg((part - F.col("df")).alias("raw"))
-    score = score.select("term", F.round("raw", 6).alias("score"))
-    return _ranked(score.orderBy(F.desc("score"), "term").limit(budget), [F.desc("score"), F.col("term")])
+    score = counts.join(F.broadcast(sizes), [*by, "language"]).groupBy(*by, "term", "df").agg((part - F.col("df")).alias("raw"))
+    return _ranked(score.withColumn("score", F.round("raw", 6)), [F.desc("score"), F.col("term")], budget, by)
 
 
-def rank_class_balanced(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1) -> DataFrame:
-    """rank, term, score: classes in order take turns, each with its next most distinctive term.
+def rank_class_balanced(counts: DataFrame, rows: DataFrame, budget: int, min_df: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, rank, term, score: classes in order take turns, each with its next most distinctive term.
 
     Distinctive is P(term | class) - P(term | other classes). A term goes to the earliest turn that
     any class ranks it at; ordering by that turn and class is the round robin in closed form. Only
     the first `budget` terms of each class can matter.
     """
-    counts, sizes = _with_totals(counts, rows, min_df)
-    classes = F.array(*(F.lit(r.language) for r in sizes.select("language").orderBy("language").collect()))
+    counts, sizes = _with_totals(counts, rows, min_df, by)
+    classes = F.array(*(F.lit(r.language) for r in sizes.select("language").distinct().orderBy("language").collect()))
     own = F.map_from_entries(F.collect_list(F.struct("language", "df_c")))
-    cells = counts.groupBy("term", "df").agg(own.alias("own")).withColumn("language", F.explode(classes))
-    cells = cells.withColumn("df_c", F.coalesce(F.try_element_at("own", "language"), F.lit(0))).join(F.broadcast(sizes), "language")
+    cells = counts.groupBy(*by, "term", "df").agg(own.alias("own")).withColumn("language", F.explode(classes))
+    cells = cells.withColumn("df_c", F.coalesce(F.try_element_at("own", "language"), F.lit(0))).join(F.broadcast(sizes), [*by, "language"])
     rest = F.when(F.col("n") > F.col("n_c"), (F.col("df") - F.col("df_c")) / (F.col("n") - F.col("n_c"))).otherwise(0.0)
-    seen = cells.select("term", "language", F.round(F.col("df_c") / F.col("n_c") - rest, 9).alias("score"))
-    by_class = Window.partitionBy("language").orderBy(F.desc("score"), "term")
+    seen = cells.select(*by, "term", "language", F.round(F.col("df_c") / F.col("n_c") - rest, 9).alias("score"))
+    by_class = Window.partitionBy(*by, "language").orderBy(F.desc("score"), "term")
     ranked = seen.withColumn("turn", F.row_number().over(by_class)).where(F.col("turn") <= budget)
-    first = ranked.groupBy("term").agg(F.min(F.struct("turn", "language", "score")).alias("at"))
-    top = first.select("term", "at.turn", "at.language", "at.score").orderBy("turn", "language").limit(budget)
-    return _ranked(top, [F.col("turn"), F.col("language")])
+    first = ranked.groupBy(*by, "term").agg(F.min(F.struct("turn", "language", "score")).alias("at"))
+    return _ranked(first.select(*by, "term", "at.turn", "at.language", "at.score"), [F.col("turn"), F.col("language")], budget, by)
 
 
-def _ranked(top: DataFrame, order: list) -> DataFrame:
-    """At most `budget` rows, numbered from 0."""
-    return top.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"), "term", "score")
+def _ranked(scored: DataFrame, order: list, budget: int, by: tuple[str, ...]) -> DataFrame:
+    """The first `budget` rows, numbered from 0; the limit on the rank reaches the partitions before they are shuffled."""
+    top = scored if by else scored.orderBy(*order).limit(budget)
+    numbered = top.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).alias("rank"), "term", "score")
+    return numbered.where(F.col("rank") < budget)
 
 
 RANKINGS = {"frequency": rank_frequency, "chi2": rank_chi2, "class_balanced": rank_class_balanced}

@@ -16,13 +16,17 @@ def fit(found: DataFrame, rows: DataFrame, vocab: DataFrame, by: tuple[str, ...]
 
 
 def fit_counts(counts: DataFrame, rows: DataFrame, vocab: DataFrame, by: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
-    """As fit, from the number of rows (df) of each class that hold each feature."""
+    """As fit, from the number of rows (df) of each class that hold each feature.
+
+    The vocabulary is one for all (feature_id), or has the columns of `by` too.
+    """
     sizes = rows.groupBy(*by, "language").agg(F.count("*").alias("n_c"))
     sizes = sizes.withColumn("prior", F.log(F.col("n_c") / F.sum("n_c").over(Window.partitionBy(*by))))
     # one row a class with its counts in a map, spread over the vocabulary's ids
     maps = counts.groupBy(*by, "language").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "df"))).alias("dfs"))
-    ids = vocab.agg(F.array_sort(F.collect_list("feature_id")).alias("ids"))
-    grid = sizes.join(maps, [*by, "language"], "left").join(F.broadcast(ids), F.lit(True)).withColumn("feature_id", F.explode("ids"))
+    own = [c for c in by if c in vocab.columns]
+    ids = vocab.groupBy(*own).agg(F.array_sort(F.collect_list("feature_id")).alias("ids"))
+    grid = sizes.join(maps, [*by, "language"], "left").join(F.broadcast(ids), own or F.lit(True)).withColumn("feature_id", F.explode("ids"))
     p = (F.coalesce(F.try_element_at("dfs", "feature_id"), F.lit(0)) + alpha) / (F.col("n_c") + 2 * alpha)
     return grid.select(*by, "language", "feature_id", F.log(p).alias("log_p"), F.log(1 - p).alias("log_q"), F.col("prior").alias("log_prior"))
 

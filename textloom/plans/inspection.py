@@ -8,7 +8,7 @@ from ..operators import clauses, curves, errors, metrics
 from ..streaming.scoring import present, score
 from . import sql
 from .curation import docs
-from .modelling import _SMALL_F, SEEDS, SMALL, TERMS, _oof_sql, oof
+from .modelling import _SMALL_F, OOF_TERMS, SEEDS, SMALL, TERMS, _oof_sql, oof
 from .registry import query
 
 #: A model over the small vocabulary: clause_id, class_idx, class, weight, pos, neg. It has clauses of
@@ -221,7 +221,7 @@ def settled_epoch(spark, d):
     return curves.settled_epoch(shares.select(s.alias("series"), e.cast("int").alias("epoch"), value.alias("share")), ("series",))
 
 
-_OOF = _oof_sql(len(TERMS))
+_OOF = _oof_sql(OOF_TERMS)
 
 
 def oof_long(spark, d):

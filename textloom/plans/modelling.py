@@ -158,14 +158,19 @@ _SEEDS = ", ".join(f"({k}, {sql.q(f'{splits.SALT}:seed:{k}')})" for k in range(S
 _FOLDS = f"fold0 AS (SELECT DISTINCT k AS seed, repo, floor({sql.unit('fold', 'repo', 'salt')} * 5)::INT AS fold FROM snip, (VALUES {_SEEDS}) t(k, salt))"
 
 
+#: Terms of the vocabulary that out-of-fold models choose from the rows outside each fold; the second model takes the first few.
+OOF_TERMS = 40
+
+
 def _oof_sql(n_terms: int) -> str:
     """Out-of-fold predictions of naive Bayes for each seed: `pred` (key, doc_id, label, pred), key = seed * 5 + fold."""
-    return f"""WITH {sql.SNIP}, {_FOLDS}, {_SMALL_F},
+    return f"""WITH {sql.SNIP}, {sql.ngrams('snip')}, {_FOLDS},
 asg AS (SELECT snip.*, seed, seed * 5 + fold AS key, fold FROM snip JOIN fold0 USING (repo)),
 fitr AS (SELECT a.doc_id, a.language, a.seed * 5 + o.k AS key FROM asg a, range(5) o(k) WHERE a.fold <> o.k),
-fitf AS (SELECT r.key, r.language, r.doc_id, sm.feature_id FROM fitr r JOIN sm USING (doc_id) WHERE sm.feature_id < {n_terms}),
-tstf AS (SELECT a.key, a.doc_id, sm.feature_id FROM asg a JOIN sm USING (doc_id) WHERE sm.feature_id < {n_terms}),
-{sql.naive_bayes('fitf', 'fitr', 'key', f'SELECT range::INT AS feature_id FROM range({n_terms})')}, {sql.nb_scores('tstf', 'asg', 'key')},
+{sql.fold_vocabulary(n_terms, MIN_DF, 5)},
+fitf AS (SELECT r.key, r.language, r.doc_id, v.feature_id FROM ng g JOIN vocab v USING (term) JOIN fitr r ON r.doc_id = g.doc_id AND r.key = v.key),
+tstf AS (SELECT a.key, a.doc_id, v.feature_id FROM ng g JOIN vocab v USING (term) JOIN asg a ON a.doc_id = g.doc_id AND a.key = v.key),
+{sql.naive_bayes('fitf', 'fitr', 'key', 'SELECT key AS of, feature_id FROM vocab', 'v.of = s.key')}, {sql.nb_scores('tstf', 'asg', 'key')},
 oof AS (SELECT (key // 5)::INT AS seed, (key % 5)::INT AS fold, doc_id, label, pred FROM pred)"""
 
 
@@ -175,25 +180,45 @@ def seed_folds(rows):
     return repos.select("repo", "s.seed", F.floor(splits.unit(F.col("s.salt"), "fold", F.col("repo")) * 5).cast("int").alias("fold"))
 
 
-def oof(spark, d, n_terms=len(TERMS), scores=False):
-    """seed, fold, doc_id, label, pred by naive Bayes fitted on the other folds (or the class scores)."""
-    rows = docs(spark, d).select("doc_id", "language", "repo", present(F.col("text"), list(TERMS[:n_terms])).alias("features"))
-    assigned = rows.join(seed_folds(rows), "repo")
-    fit_rows, test_rows = naive_bayes.held_out(assigned, 5)
-    vocab = spark.range(n_terms).select(F.col("id").cast("int").alias("feature_id"))
+def fold_vocabulary(rows, folds, n_terms=OOF_TERMS):
+    """seed, fold, feature_id, term: chosen from the rows outside each fold alone. The texts are exploded once for all."""
     by = ("seed", "fold")
-    model = naive_bayes.fit(fit_rows.withColumn("feature_id", F.explode("features")), fit_rows, vocab, by)
-    found = test_rows.withColumn("feature_id", F.explode("features"))
-    scored = naive_bayes.scores(model, found, test_rows, by)
+    repo = features.terms(rows.select("repo", "language", "text")).groupBy("repo", "language", "term").agg(F.count("*").alias("n"))
+    own = repo.join(folds, "repo").groupBy(*by, "term", "language").agg(F.sum("n").alias("df_c"))
+    fit_rows, _ = naive_bayes.held_out(rows.select("repo", "language").join(folds, "repo"), 5)
+    ranked = features.rank_class_balanced(features.held_out_counts(own, 5, ("seed",)), fit_rows, n_terms, MIN_DF, by)
+    return ranked.select(*by, F.col("rank").alias("feature_id"), "term")
+
+
+def oof(spark, d, n_terms=OOF_TERMS, scores=False):
+    """seed, fold, doc_id, label, pred by naive Bayes on a vocabulary, both fitted on the other folds (or the class scores)."""
+    rows = docs(spark, d).select("doc_id", "language", "repo", "text")
+    folds, by = seed_folds(rows), ("seed", "fold")
+    # folds x terms rows, all settings: chosen once and kept on the driver
+    vocab = spark.createDataFrame(fold_vocabulary(rows, folds, n_terms).collect(), "seed int, fold int, feature_id int, term string")
+    found = features.terms(rows).join(F.broadcast(vocab.select("term").distinct()), "term")
+    counts = found.groupBy("repo", "language", "term").agg(F.count("*").alias("n")).join(folds, "repo")
+    counts = counts.groupBy(*by, "term", "language").agg(F.sum("n").alias("df_c"))
+    df = features.held_out_counts(counts, 5, ("seed",)).join(F.broadcast(vocab), [*by, "term"])
+    fit_rows, test_rows = naive_bayes.held_out(rows.drop("text").join(folds, "repo"), 5)
+    model = naive_bayes.fit_counts(df.select(*by, "language", "feature_id", F.col("df_c").alias("df")), fit_rows, vocab, by)
+    present_ = found.join(F.broadcast(vocab), "term").join(folds, ["repo", *by]).select(*by, "doc_id", "feature_id")
+    scored = naive_bayes.scores(model, present_, test_rows, by)
     return scored if scores else naive_bayes.predict(scored, by)
 
 
-@query("nb_oof_cv", f"{_oof_sql(len(TERMS))} SELECT seed, fold, doc_id, label, pred FROM oof")
+@query("fold_vocabulary", f"{_oof_sql(OOF_TERMS)} SELECT (key // 5)::INT AS seed, (key % 5)::INT AS fold, feature_id, term FROM vocab")
+def fold_vocabularies(spark, d):
+    rows = docs(spark, d)
+    return fold_vocabulary(rows, seed_folds(rows))
+
+
+@query("nb_oof_cv", f"{_oof_sql(OOF_TERMS)} SELECT seed, fold, doc_id, label, pred FROM oof")
 def nb_oof_cv(spark, d):
     return oof(spark, d)
 
 
-_FOLD_F1 = f"{_oof_sql(len(TERMS))}, kf AS (SELECT seed * 5 + fold AS key, label, pred FROM oof), {_per_class('kf', 'key')}"
+_FOLD_F1 = f"{_oof_sql(OOF_TERMS)}, kf AS (SELECT seed * 5 + fold AS key, label, pred FROM oof), {_per_class('kf', 'key')}"
 
 
 @query("cv_fold_f1", f"{_FOLD_F1} SELECT (key // 5)::INT AS seed, (key % 5)::INT AS fold, macro_f1, accuracy, n FROM mac")
@@ -255,7 +280,7 @@ def corrected_t_test(spark, d):
     return metrics.corrected_t(deltas(spark, d), ("model",), "delta", 0.25)
 
 
-@query("confident_learning", f"""{_oof_sql(len(TERMS))}, one AS (SELECT doc_id, label, class, score FROM scored WHERE key // 5 = 0),
+@query("confident_learning", f"""{_oof_sql(OOF_TERMS)}, one AS (SELECT doc_id, label, class, score FROM scored WHERE key // 5 = 0),
 e AS (SELECT *, exp(score - MAX(score) OVER (PARTITION BY doc_id)) AS e FROM one), pr AS (SELECT doc_id, label, class, e / SUM(e) OVER (PARTITION BY doc_id) AS p FROM e),
 lm AS (SELECT class, avg(p) AS lim FROM pr WHERE label = class GROUP BY class),
 rc AS (SELECT pr.* FROM pr JOIN lm USING (class) WHERE round(p, 9) >= round(lim, 9)),
@@ -266,7 +291,7 @@ def confident_learning(spark, d):
     return audit.label_issues(audit.confident_learning(probs)).select("doc_id", "given", "suggested")
 
 
-@query("confident_joint", f"""{_oof_sql(len(TERMS))}, one AS (SELECT doc_id, label, class, score FROM scored WHERE key // 5 = 0),
+@query("confident_joint", f"""{_oof_sql(OOF_TERMS)}, one AS (SELECT doc_id, label, class, score FROM scored WHERE key // 5 = 0),
 e AS (SELECT *, exp(score - MAX(score) OVER (PARTITION BY doc_id)) AS e FROM one), pr AS (SELECT doc_id, label, class, e / SUM(e) OVER (PARTITION BY doc_id) AS p FROM e),
 lm AS (SELECT class, avg(p) AS lim FROM pr WHERE label = class GROUP BY class),
 rc AS (SELECT pr.* FROM pr JOIN lm USING (class) WHERE round(p, 9) >= round(lim, 9)),

@@ -76,8 +76,11 @@ fst AS (SELECT term, turn, language, score FROM trn WHERE turn <= {budget} QUALI
 vocab AS (SELECT (row_number() OVER (ORDER BY turn, language) - 1)::INT AS feature_id, term, score FROM fst ORDER BY turn, language LIMIT {budget})"""
 
 
-def naive_bayes(found: str, rows: str, by: str = "", ids: str = "SELECT feature_id FROM vocab") -> str:
-    """CTEs up to `nb` (by, language, feature_id, log_p, log_q, log_prior) from present features and training rows."""
+def naive_bayes(found: str, rows: str, by: str = "", ids: str = "SELECT feature_id FROM vocab", ids_on: str = "true") -> str:
+    """CTEs up to `nb` (by, language, feature_id, log_p, log_q, log_prior) from present features and training rows.
+
+    ids_on: which ids (v) belong to which sizes (s).
+    """
     b = f"{by}, " if by else ""
     on = f"AND c.{by} = s.{by}" if by else ""
     part = f"PARTITION BY {by}" if by else ""
@@ -86,10 +89,28 @@ nbn AS (SELECT {b}language, count(*) AS n_c FROM {rows} GROUP BY ALL),
 nbs AS (SELECT *, ln(n_c / SUM(n_c) OVER ({part})) AS log_prior FROM nbn),
 nbc AS (SELECT {b}language, feature_id, count(*) AS df FROM {found} GROUP BY ALL),
 nbp AS (SELECT {"s." + by + ", " if by else ""}s.language, v.feature_id, (COALESCE(c.df, 0) + 1) / (s.n_c + 2) AS p, s.log_prior
-        FROM nbs s CROSS JOIN ({ids}) v LEFT JOIN nbc c ON c.language = s.language AND c.feature_id = v.feature_id {on}),
+        FROM nbs s JOIN ({ids}) v ON {ids_on} LEFT JOIN nbc c ON c.language = s.language AND c.feature_id = v.feature_id {on}),
 nb AS (SELECT {b}language, feature_id, ln(p) AS log_p, ln(1 - p) AS log_q, log_prior FROM nbp)"""
 
 
+def fold_vocabulary(budget: int, min_df: int, n_folds: int) -> str:
+    """CTE `vocab` (key, feature_id, term): the class-balanced ranking over the rows outside each fold, counted anew.
+
+    From `ng`, `fold0` (seed, repo, fold) and `fitr` (key, doc_id, language), with key = seed * n_folds + fold.
+    """
+    return f"""
+vrepo AS (SELECT repo, language, term, count(*) AS n FROM ng GROUP BY ALL),
+vdf AS (SELECT f.seed * {n_folds} + o.k AS key, term, language, SUM(n)::BIGINT AS df_c FROM vrepo JOIN fold0 f USING (repo), range({n_folds}) o(k) WHERE f.fold <> o.k GROUP BY ALL),
+vtot AS (SELECT key, term, SUM(df_c)::BIGINT AS df FROM vdf GROUP BY ALL HAVING SUM(df_c) >= {min_df}),
+vsz AS (SELECT key, language, count(*) AS n_c, (SUM(count(*)) OVER (PARTITION BY key))::BIGINT AS n FROM fitr GROUP BY key, language),
+vcell AS (SELECT t.key, t.term, z.language, COALESCE(d.df_c, 0) AS df_c, t.df, z.n_c, z.n FROM vtot t JOIN vsz z ON z.key = t.key
+          LEFT JOIN vdf d ON d.key = t.key AND d.term = t.term AND d.language = z.language),
+vsc AS (SELECT key, term, language, round(df_c / n_c - CASE WHEN n > n_c THEN (df - df_c) / (n - n_c) ELSE 0.0 END, 9) AS score FROM vcell),
+vtrn AS (SELECT *, row_number() OVER (PARTITION BY key, language ORDER BY score DESC, term) AS turn FROM vsc QUALIFY turn <= {budget}),
+vfst AS (SELECT key, term, turn, language FROM vtrn QUALIFY row_number() OVER (PARTITION BY key, term ORDER BY turn, language) = 1),
+vocab AS (SELECT key, (row_number() OVER (PARTITION BY key ORDER BY turn, language) - 1)::INT AS feature_id, term FROM vfst QUALIFY feature_id < {budget})"""
+
+
 def nb_scores(found: str, rows: str, by: str = "") -> str:
     """CTEs up to `scored` (by, doc_id, label, class, score) and `pred`."""
     b, rb = (f"{by}, ", f"r.{by}, ") if by else ("", "")
