@@ -36,11 +36,11 @@ FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-
 
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 NAMED = rf"(?i:{NAMES})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?"  # a name may have any prefix
-ASSIGNED = rf"(?<={NAMED})[^\s\"']{{8,}}"
+SIGN = r"[:=]\s{0,2}[\"']?"  # what a name ends with
+VALUE = r"[^\s\"']{8,}"
+ASSIGNED = rf"(?<={SIGN})(?<={NAMED}){VALUE}"  # looking behind for the sign alone is cheap
 HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 CANDIDATE = f"{RUN}|{ASSIGNED}|{HEADER}"
-# the texts that have a candidate, told without looking behind at every character
-LIKELY = rf"{RUN}|{NAMED}[^\s\"']{{8,}}|{HEADER}"
 NEAR = 64  # characters of the line before and after a candidate
 
 FEATURES = (
@@ -50,10 +50,16 @@ FEATURES = (
 NEIGHBOURS = ("path", "before", "after")
 
 
+def likely(text: Column) -> Column:
+    """Whether a text has a candidate, told without looking behind at every character, nor for names where no sign stands."""
+    assigned = text.rlike(SIGN + VALUE) & text.rlike(NAMED + VALUE)
+    return text.rlike(RUN) | assigned | text.rlike(HEADER)
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str) -> DataFrame:
     """doc_id, ordinal, path, before, value, after."""
     text = F.col(text_col)
-    rows = docs.where(text.rlike(LIKELY)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
+    rows = docs.where(likely(text)).select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
     # what lies between the candidates is their neighbourhood: both scans are linear in the text,
     # and bound to a lambda variable they run once a row
     scanned = F.array(F.struct(F.split("text", CANDIDATE).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("values")))
