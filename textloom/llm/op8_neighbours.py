@@ -91,19 +91,25 @@ class Posted:
         self.starts = np.searchsorted(label[members], np.arange(len(self.x) + 1))
         self.ids, self.k = ids[members], k
         self.unit, self.norms = unit(self.x)
-        self.files = np.ascontiguousarray(weights(self.unit, pivots, prefix).T)
+        marks = weights(self.unit, pivots, prefix)
+        pivot, self.posted = (c.astype(np.int32) for c in np.nonzero(marks.T))  # by pivot, then by vector
+        self.weights = marks.T[pivot, self.posted]
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(pivot, minlength=len(pivots)))))
         self.line = 0.0, 0.0
 
-    def shared(self, weight, some=slice(None)):
-        """The sum of the smaller weights over the pivots shared with a query."""
-        read = np.flatnonzero(weight)
-        return np.minimum(self.files[read, some], weight[read][:, None]).sum(axis=0, dtype=np.int64)
+    def shared(self, weight):
+        """The sum of the smaller weights over the pivots shared with a query, from its pivots' files alone."""
+        files = [(slice(self.ends[p], self.ends[p + 1]), weight[p]) for p in np.flatnonzero(weight)]
+        if not files:
+            return np.zeros(len(self.x))
+        smaller = np.concatenate([np.minimum(self.weights[at], w) for at, w in files])
+        return np.bincount(np.concatenate([self.posted[at] for at, _ in files]), smaller, len(self.x))
 
     def learn(self, units, marks):
         """Fits the line from sums to cosines on some of the queries and of the vectors."""
         some = slice(None, None, -(-len(self.x) // LEARN_VECTORS))
         picked = range(0, len(units), -(-len(units) // LEARN_QUERIES))
-        sums = np.concatenate([self.shared(marks[i], some) for i in picked]).astype(np.float64)
+        sums = np.concatenate([self.shared(marks[i])[some] for i in picked])
         cosines = np.concatenate([self.unit[some] @ units[i] for i in picked])
         spread = sums.var()
         slope = max(0.0, ((sums - sums.mean()) * (cosines - cosines.mean())).mean() / spread) if spread else 0.0
