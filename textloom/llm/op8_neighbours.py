@@ -129,6 +129,10 @@ class Posted:
             found = np.sort(np.argpartition(lack, m - 1)[:m])
         else:
             found = np.arange(n)
+        if len(found) > self.k + 1:  # the matrix product may round otherwise: what it can't tell from the k-th stays
+            rough = self.x[found] @ q
+            slack = 8 * len(q) * np.finfo(np.float64).eps * self.norms[found].max() * np.sqrt(q @ q)
+            found = found[~(rough < np.partition(rough, len(rough) - self.k - 1)[len(rough) - self.k - 1] - slack)]
         score = (self.x[found] * q).sum(axis=1)
         if len(found) > self.k + 1:  # as many distinct vectors, ties included, give k ids and the own one
             least_score = np.partition(score, len(score) - self.k - 1)[len(score) - self.k - 1]
