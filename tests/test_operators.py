@@ -46,6 +46,49 @@ def test_greedy_rounds_equal_the_sequential_rule(spark):
     assert dedup.greedy_removals(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_shingle_sets_of_workers_are_those_of_the_column_function(spark):
+    from textloom.functions.text import shingles
+    from textloom.operators.alike import shingle_set
+
+    texts = ["", " ", "a", "a b c d e", "a_b-c d.e, f\u00a0g \x1fh\u2028i \x85j", "na\u00efve \u65e5\u672c\u8a9e \u0967\u0968 \u00bd \U0001d54f \U0001f600 e\u0301 x y z", "a a a a a a a a", "tab\tnew\r\nline one two three four five"]
+    got = {r.text: sorted(r.h) for r in spark.createDataFrame([(t,) for t in texts], "text string").select("text", shingles(F.col("text")).alias("h")).collect()}
+    assert got == {t: shingle_set(t).tolist() for t in texts}
+
+
+def test_dedup_within_classes_of_one_least_shingle_equals_the_rule_on_all_pairs(spark):
+    from textloom.operators import alike
+
+    rng, texts = random.Random(3), []
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 12, 60, 150]))]
+        for _ in range(rng.choice([1, 2, 9, 40])):
+            copy = list(base)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = [*enumerate([*texts, None, "", " ", texts[0] + " "]), (10**6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = dedup.exact_status(df)
+    sets = marked.where("first").select("doc_id", dedup.shingles(F.col("text")).alias("shingles"))
+    pairs = {(r.x, r.y) for r in dedup.verified_pairs(dedup.candidate_pairs(dedup.band_keys(sets)), sets, 0.8).collect()}
+    gone = {r.y for r in dedup.greedy_removals(spark.createDataFrame(sorted(pairs), "x long, y long")).collect()}
+    expected = {r.doc_id: "exact" if not r.first else "near" if r.doc_id in gone else "kept" for r in marked.collect()}
+    assert len(gone) > 30 and len(pairs) > 3 * len(gone)
+    assert {r.doc_id: r.status for r in dedup.dedup_status(df).collect()} == expected
+    held = alike.Kept()
+    held.add([alike.shingle_set(t) for t in texts[:50]])
+    assert all((i, i) in held.candidates(held.sets, 0.8) for i in range(50))
+
+
+def test_dedup_makes_no_table_of_pairs(spark, monkeypatch):
+    """A class of n texts alike used to give n * n / 2 pairs, and every shingle was written several times."""
+    monkeypatch.delattr(dedup, "candidate_pairs")
+    rows = [(i, body("z", 200) + f" end{i}") for i in range(400)]
+    got = [r.status for r in dedup.dedup_status(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0] == "kept" and got.count("near") > 390  # a last shingle may be the least of all
+
+
 def test_dedup_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         dedup.dedup_status(spark.createDataFrame([], "doc_id long, text string"), 0)
