@@ -415,6 +415,42 @@ def test_learning_curve_scores_whole_folds(spark):
             assert got[out, e].val_f1 == pytest.approx(f1) and got[out, e].included == inc.sum()
 
 
+def test_counts_by_repository_are_those_of_the_exploded_terms(spark, monkeypatch):
+    from textloom.operators import grams
+
+    rng = random.Random(2)
+    many = "".join(chr(0x4E00 + i) for i in range(20000))  # more characters than ids have room for
+    texts = [None, "", "a", "ab", "aba", "\0\0a", "a\0", "\U0001f600\U0001f601 x\u00e9\u0301", many, "abc" * 50, "\u00e9" * 3]
+    texts += ["".join(rng.choice("abc \n\u00e4\u65e5") for _ in range(rng.randrange(80))) for _ in range(60)]
+    texts += [many[:9000], many[8000:], many[500:600]]
+    rows = [(t, rng.choice("pq"), rng.choice(["x", "y", None])) for t in texts]
+    df = spark.createDataFrame(rows, "text string, repo string, language string")
+    expected = {(r.repo, r.language, r.term): r.n for r in features.terms(df).groupBy("repo", "language", "term").agg(F.count("*").alias("n")).collect()}
+    assert {(r.repo, r.language, r.term): r.n for r in features.repo_counts(df).collect()} == expected
+    monkeypatch.setattr(grams, "SLICE", 50)
+    monkeypatch.setattr(grams, "HELD", 100)
+    parts = [r for b in grams.count_batches(df.coalesce(1).toArrow().to_batches(max_chunksize=20)) for r in b.to_pylist()]
+    total = {}
+    for r in parts:
+        key = (r["repo"], r["language"], r["term"])
+        total[key] = total.get(key, 0) + r["n"]
+    assert total == expected
+
+
+def test_both_models_come_from_two_looks_at_the_texts(spark, sf_dir, monkeypatch):
+    """Each model used to explode the n-grams of all texts three times; the smaller one is a part of the larger one."""
+    from textloom.plans import modelling
+
+    monkeypatch.setattr(features, "terms", None)
+    looks, counted = [], features.repo_counts
+    monkeypatch.setattr(features, "repo_counts", lambda rows: looks.append(1) or counted(rows))
+    both = modelling.oof_models(spark, sf_dir, (modelling.OOF_TERMS, modelling.SMALL))
+    small = modelling.oof(spark, sf_dir, modelling.SMALL)
+    assert len(looks) == 2
+    names = ["seed", "fold", "doc_id", "label", "pred"]
+    assert sorted(map(tuple, both.where("model = 1").select(names).collect())) == sorted(map(tuple, small.select(names).collect()))
+
+
 def test_fold_vocabulary_never_sees_held_out_text(spark):
     from textloom.plans.modelling import fold_vocabulary
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, identifiers
+from .grams import count_batches
 
 #: Delimiters that can be put first in a vocabulary.
 DELIMITERS = (";", "{", "}", "(", ")", "[", "]", "//", "#", "/*", "--", "<", ">", "\t", "    ", "::", "->", "=>")
@@ -35,6 +36,18 @@ def class_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("term", "language").agg(F.count("*").alias("df_c"))
 
 
+def repo_counts(rows: DataFrame) -> DataFrame:
+    """repo, language, term, n: how many of the rows' texts hold each n-gram of 2 and 3; workers sum up what they see."""
+    part = rows.select("repo", "language", "text").mapInArrow(count_batches, "repo string, language string, term string, n long")
+    return part.groupBy("repo", "language", "term").agg(F.sum("n").alias("n"))
+
+
+def class_sizes(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, language, n_c: the number of rows, which may be counted already (n_rows)."""
+    n = F.sum("n_rows") if "n_rows" in rows.columns else F.count("*")
+    return rows.groupBy(*by, "language").agg(n.alias("n_c"))
+
+
 def held_out_counts(counts: DataFrame, n_folds: int, by: tuple[str, ...] = ()) -> DataFrame:
     """by, fold, term, language, df_c of the rows outside each fold, from df_c inside each (by, fold, term, language)."""
     own = F.map_from_entries(F.collect_list(F.struct("fold", "df_c")))
@@ -47,7 +60,7 @@ def held_out_counts(counts: DataFrame, n_folds: int, by: tuple[str, ...] = ()) -
 def _with_totals(counts: DataFrame, rows: DataFrame, min_df: int, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(by, term, language, df_c, df) and (by, language, n_c, n); the latter has a row for each class."""
     total = counts.groupBy(*by, "term").agg(F.sum("df_c").alias("df")).where(F.col("df") >= min_df)
-    sizes = rows.groupBy(*by, "language").agg(F.count("*").alias("n_c"))
+    sizes = class_sizes(rows, by)
     return counts.join(total, [*by, "term"]), sizes.withColumn("n", F.sum("n_c").over(Window.partitionBy(*by)))
 
 

@@ -6,8 +6,13 @@ a constant per class plus one term per present feature, so absent features cost
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .features import class_sizes
+from .grams import score_batches
 
 
 def fit(found: DataFrame, rows: DataFrame, vocab: DataFrame, by: tuple[str, ...] = (), alpha: float = 1.0) -> DataFrame:
@@ -20,7 +25,7 @@ def fit_counts(counts: DataFrame, rows: DataFrame, vocab: DataFrame, by: tuple[s
 
     The vocabulary is one for all (feature_id), or has the columns of `by` too.
     """
-    sizes = rows.groupBy(*by, "language").agg(F.count("*").alias("n_c"))
+    sizes = class_sizes(rows, by)
     sizes = sizes.withColumn("prior", F.log(F.col("n_c") / F.sum("n_c").over(Window.partitionBy(*by))))
     # one row a class with its counts in a map, spread over the vocabulary's ids
     maps = counts.groupBy(*by, "language").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "df"))).alias("dfs"))
@@ -59,6 +64,30 @@ def probabilities(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return scored.withColumn("e", shifted).withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e", "score")
 
 
+def out_of_fold(rows: DataFrame, model: list, vocab: list, sizes: tuple[int, ...], n_folds: int, n_seeds: int) -> tuple[DataFrame, list]:
+    """(rows without the text, with `scores`; the classes): the scores of each row by the models of its own folds.
+
+    rows have folds (one a seed) and a text; model and vocab are the collected rows of `fit_counts`
+    and of the vocabularies (seed, fold, feature_id, term). A size takes the first terms of each
+    vocabulary: features are independent given the class, so its model is a part of the whole one.
+    scores has those of every size, seed and class in turn, null for a class that a model has not.
+    """
+    classes = sorted({r.language for r in model}, key=lambda c: (c is not None, c))
+    terms = sorted({r.term for r in vocab})
+    place, column = {t: i for i, t in enumerate(terms)}, {c: i for i, c in enumerate(classes)}
+    term = {(r.seed, r.fold, r.feature_id): place[r.term] for r in vocab}
+    gain = np.zeros((len(sizes), n_seeds, n_folds, len(terms), len(classes)))
+    base = np.full((len(sizes), n_seeds, n_folds, len(classes)), np.nan)
+    for m, size in enumerate(sizes):
+        for r in sorted((r for r in model if r.feature_id < size), key=lambda r: r.feature_id):
+            at = (m, r.seed, r.fold)
+            base[(*at, column[r.language])] = r.log_q + (r.log_prior if np.isnan(base[(*at, column[r.language])]) else base[(*at, column[r.language])])
+            gain[(*at, term[r.seed, r.fold, r.feature_id], column[r.language])] = r.log_p - r.log_q
+    models = [[(gain[m, k, f], base[m, k, f]) for f in range(n_folds)] for m in range(len(sizes)) for k in range(n_seeds)]
+    schema = T.StructType([*rows.drop("text").schema.fields, T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(lambda batches: score_batches(batches, terms, models), schema), classes
+
+
 def held_out(assigned: DataFrame, n_folds: int) -> tuple[DataFrame, DataFrame]:
     """Training rows spread over the folds: (rows to fit, with the fold left out; rows to test, with their fold)."""
     folds = F.array(*map(F.lit, range(n_folds)))

@@ -8,7 +8,7 @@ from ..operators import clauses, curves, errors, metrics
 from ..streaming.scoring import present, score
 from . import sql
 from .curation import docs
-from .modelling import _SMALL_F, OOF_TERMS, SEEDS, SMALL, TERMS, _oof_sql, oof
+from .modelling import _SMALL_F, OOF_TERMS, SEEDS, SMALL, TERMS, _oof_sql, oof, oof_models
 from .registry import query
 
 #: A model over the small vocabulary: clause_id, class_idx, class, weight, pos, neg. It has clauses of
@@ -226,9 +226,8 @@ _OOF = _oof_sql(OOF_TERMS)
 
 def oof_long(spark, d):
     """doc_id, label, model, seed, pred of two models: the full one for every seed, the small one for one."""
-    full = oof(spark, d).select("doc_id", "label", F.lit("full").alias("model"), "seed", "pred")
-    small = oof(spark, d, SMALL).where("seed = 0").select("doc_id", "label", F.lit("small").alias("model"), "seed", "pred")
-    return full.unionByName(small)
+    both = oof_models(spark, d, (OOF_TERMS, SMALL)).where("model = 0 or seed = 0")
+    return both.select("doc_id", "label", F.when(F.col("model") == 0, "full").otherwise("small").alias("model"), "seed", "pred")
 
 
 _LONG = f"WITH lg AS (SELECT doc_id, label, 'full' AS model, seed, pred FROM ({_OOF} SELECT * FROM oof) UNION ALL SELECT doc_id, label, 'small', seed, pred FROM ({_oof_sql(SMALL)} SELECT * FROM oof) WHERE seed = 0)"

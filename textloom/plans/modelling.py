@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, baselines, features, metrics, naive_bayes, splits, tsetlin
+from ..operators import audit, baselines, dedup, features, metrics, naive_bayes, splits, tsetlin
 from ..streaming.scoring import present
 from . import sql
 from .curation import _SPLIT, docs
@@ -177,34 +177,78 @@ oof AS (SELECT (key // 5)::INT AS seed, (key % 5)::INT AS fold, doc_id, label, p
 def seed_folds(rows):
     salts = F.array(*(F.struct(F.lit(k).alias("seed"), F.lit(f"{splits.SALT}:seed:{k}").alias("salt")) for k in range(SEEDS)))
     repos = rows.select("repo").distinct().withColumn("s", F.explode(salts))
-    return repos.select("repo", "s.seed", F.floor(splits.unit(F.col("s.salt"), "fold", F.col("repo")) * 5).cast("int").alias("fold"))
+    return repos.select("repo", "s.seed", _fold(F.col("s.salt")).alias("fold"))
 
 
-def fold_vocabulary(rows, folds, n_terms=OOF_TERMS):
-    """seed, fold, feature_id, term: chosen from the rows outside each fold alone. The texts are exploded once for all."""
+def _fold(salt):
+    return F.floor(splits.unit(salt, "fold", F.col("repo")) * 5).cast("int")
+
+
+def fold_vocabulary(rows, folds, n_terms=OOF_TERMS, counts=None, sizes=None):
+    """seed, fold, feature_id, term: chosen from the rows outside each fold alone. The texts are read once for all.
+
+    counts, sizes: the rows' terms and numbers by repository, if they are at hand.
+    """
     by = ("seed", "fold")
-    repo = features.terms(rows.select("repo", "language", "text")).groupBy("repo", "language", "term").agg(F.count("*").alias("n"))
-    own = repo.join(folds, "repo").groupBy(*by, "term", "language").agg(F.sum("n").alias("df_c"))
-    fit_rows, _ = naive_bayes.held_out(rows.select("repo", "language").join(folds, "repo"), 5)
+    counts = dedup._checkpointed(features.repo_counts(rows)) if counts is None else counts
+    own = counts.join(folds, "repo").groupBy(*by, "term", "language").agg(F.sum("n").alias("df_c"))
+    fit_rows, _ = naive_bayes.held_out((repo_sizes(rows) if sizes is None else sizes).join(folds, "repo"), 5)
     ranked = features.rank_class_balanced(features.held_out_counts(own, 5, ("seed",)), fit_rows, n_terms, MIN_DF, by)
     return ranked.select(*by, F.col("rank").alias("feature_id"), "term")
 
 
-def oof(spark, d, n_terms=OOF_TERMS, scores=False):
-    """seed, fold, doc_id, label, pred by naive Bayes on a vocabulary, both fitted on the other folds (or the class scores)."""
+def repo_sizes(rows):
+    return rows.groupBy("repo", "language").agg(F.count("*").alias("n_rows"))
+
+
+def _oof_scores(spark, d, sizes):
+    """(doc_id, label, folds, scores; the classes) for vocabularies of several sizes.
+
+    The texts are read twice: for the counts by repository, from which all vocabularies and models
+    come, and for the scores. A smaller vocabulary is the beginning of a larger one.
+    """
     rows = docs(spark, d).select("doc_id", "language", "repo", "text")
-    folds, by = seed_folds(rows), ("seed", "fold")
+    sizes_ = dedup._checkpointed(repo_sizes(rows))
+    counts, folds, by = dedup._checkpointed(features.repo_counts(rows)), dedup._checkpointed(seed_folds(sizes_)), ("seed", "fold")
     # folds x terms rows, all settings: chosen once and kept on the driver
-    vocab = spark.createDataFrame(fold_vocabulary(rows, folds, n_terms).collect(), "seed int, fold int, feature_id int, term string")
-    found = features.terms(rows).join(F.broadcast(vocab.select("term").distinct()), "term")
-    counts = found.groupBy("repo", "language", "term").agg(F.count("*").alias("n")).join(folds, "repo")
-    counts = counts.groupBy(*by, "term", "language").agg(F.sum("n").alias("df_c"))
-    df = features.held_out_counts(counts, 5, ("seed",)).join(F.broadcast(vocab), [*by, "term"])
-    fit_rows, test_rows = naive_bayes.held_out(rows.drop("text").join(folds, "repo"), 5)
-    model = naive_bayes.fit_counts(df.select(*by, "language", "feature_id", F.col("df_c").alias("df")), fit_rows, vocab, by)
-    present_ = found.join(F.broadcast(vocab), "term").join(folds, ["repo", *by]).select(*by, "doc_id", "feature_id")
-    scored = naive_bayes.scores(model, present_, test_rows, by)
-    return scored if scores else naive_bayes.predict(scored, by)
+    vocab = fold_vocabulary(rows, folds, max(sizes), counts, sizes_).collect()
+    table_ = spark.createDataFrame(vocab, "seed int, fold int, feature_id int, term string")
+    found = counts.join(F.broadcast(table_.select("term").distinct()), "term").join(folds, "repo").groupBy(*by, "term", "language").agg(F.sum("n").alias("df_c"))
+    df = features.held_out_counts(found, 5, ("seed",)).join(F.broadcast(table_), [*by, "term"])
+    fit_rows, _ = naive_bayes.held_out(sizes_.join(folds, "repo"), 5)
+    model = naive_bayes.fit_counts(df.select(*by, "language", "feature_id", F.col("df_c").alias("df")), fit_rows, table_, by).collect()
+    salts = [F.lit(f"{splits.SALT}:seed:{k}") for k in range(SEEDS)]
+    asked = rows.select("doc_id", F.col("language").alias("label"), F.array(*map(_fold, salts)).alias("folds"), "text")
+    return naive_bayes.out_of_fold(asked, model, vocab, sizes, 5, SEEDS)
+
+
+def _oof_parts(n_sizes, n_classes, column):
+    """One struct for each size and seed, with its share of a column of scores, or its prediction."""
+    part = lambda k: F.slice(column, k * n_classes + 1, n_classes) if n_classes else F.get(column, F.lit(k))
+    return F.array(*(F.struct(F.lit(k // SEEDS).alias("model"), F.lit(k % SEEDS).alias("seed"), F.get("folds", F.lit(k % SEEDS)).alias("fold"), part(k).alias("x")) for k in range(n_sizes * SEEDS)))
+
+
+def oof_models(spark, d, sizes):
+    """model (place in sizes), seed, fold, doc_id, label, pred of naive Bayes on vocabularies of these sizes, all from one look at the texts."""
+    wide, classes = _oof_scores(spark, d, sizes)
+    names = F.array(*map(F.lit, classes))
+    # the best class, the first by name if tied
+    cell = lambda s, c: F.when(s.isNotNull(), F.struct((-F.round(s, 6)).alias("s"), c.alias("class")))
+    best = lambda p: F.array_min(F.filter(F.zip_with(p["x"], names, cell), lambda x: x.isNotNull()))["class"]
+    preds = dedup._checkpointed(wide.select("doc_id", "label", "folds", F.transform(_oof_parts(len(sizes), len(classes), "scores"), best).alias("preds")))
+    long = preds.select("doc_id", "label", F.explode(_oof_parts(len(sizes), 0, "preds")).alias("p")).where("p.x is not null")
+    return long.select("p.model", "p.seed", "p.fold", "doc_id", "label", F.col("p.x").alias("pred"))
+
+
+def oof(spark, d, n_terms=OOF_TERMS, scores=False):
+    """seed, fold, doc_id, label, pred by naive Bayes on a vocabulary, both fitted on the other folds (or the class scores)."""
+    if not scores:
+        return oof_models(spark, d, (n_terms,)).drop("model")
+    wide, classes = _oof_scores(spark, d, (n_terms,))
+    long = wide.select("doc_id", "label", F.explode(_oof_parts(1, len(classes), "scores")).alias("p"))
+    cells = F.arrays_zip(F.array(*map(F.lit, classes)).alias("class"), F.col("p.x").alias("score"))
+    long = long.select("p.seed", "p.fold", "doc_id", "label", F.explode(cells).alias("c"))
+    return long.select("seed", "fold", "doc_id", "label", "c.class", F.round("c.score", 6).alias("score")).where("score is not null")
 
 
 @query("fold_vocabulary", f"{_oof_sql(OOF_TERMS)} SELECT (key // 5)::INT AS seed, (key % 5)::INT AS fold, feature_id, term FROM vocab")
@@ -243,9 +287,8 @@ def canonical_seed(spark, d):
 
 def two_models(spark, d):
     """model, seed, fold, macro_f1 of the full and the small vocabulary."""
-    full = metrics.macro_f1(oof(spark, d), ("seed", "fold")).withColumn("model", F.lit("full"))
-    small = metrics.macro_f1(oof(spark, d, SMALL), ("seed", "fold")).withColumn("model", F.lit("small"))
-    return full.unionByName(small)
+    scored = metrics.macro_f1(oof_models(spark, d, (OOF_TERMS, SMALL)), ("model", "seed", "fold"))
+    return scored.withColumn("model", F.when(F.col("model") == 0, "full").otherwise("small"))
 
 
 def _both_sql(tail: str) -> str:
