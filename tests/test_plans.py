@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from textloom.operators import dedup, features
 from textloom.plans import catalogue
 
 QUERIES = catalogue.queries()
@@ -35,3 +36,22 @@ def test_a_large_table_is_not_spread(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert "RoundRobin" in plan(spread(docs)) and "RoundRobin" not in plan(spread(docs, small=10))
+
+
+WITHOUT_PAIRS = ("build_manifest",)
+WITHOUT_TERMS = ()
+
+
+@pytest.mark.parametrize("name", WITHOUT_PAIRS)
+def test_deduplication_writes_no_pairs(spark, sf_dir, monkeypatch, name):
+    """Every shingle of every text and all pairs of a band used to be written."""
+    for made in ("candidate_pairs", "band_keys", "shingles"):
+        monkeypatch.setattr(dedup, made, None)
+    assert catalogue.queries()[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", WITHOUT_TERMS)
+def test_two_models_explode_no_texts(spark, sf_dir, monkeypatch, name):
+    """The n-grams of all texts used to be exploded three times for each model."""
+    monkeypatch.setattr(features, "terms", None)
+    assert catalogue.queries()[name](spark, sf_dir).count() > 0
