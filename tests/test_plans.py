@@ -38,7 +38,7 @@ def test_a_large_table_is_not_spread(spark, sf_dir):
     assert "RoundRobin" in plan(spread(docs)) and "RoundRobin" not in plan(spread(docs, small=10))
 
 
-WITHOUT_PAIRS = ("build_manifest", "build_with_benchmark_as_wild", "cross_set_dedup")
+WITHOUT_PAIRS = ("build_manifest", "build_with_benchmark_as_wild", "cross_set_dedup", "dedup_stats")
 WITHOUT_TERMS = ()
 
 
