@@ -39,7 +39,7 @@ def test_a_large_table_is_not_spread(spark, sf_dir):
 
 
 WITHOUT_PAIRS = ("build_manifest", "build_with_benchmark_as_wild", "cross_set_dedup", "dedup_stats")
-WITHOUT_TERMS = ("confusable_pairs", "corrected_t_stat", "corrected_t_test", "inflow", "model_views", "seed_aggregate", "significance", "sink_share")
+WITHOUT_TERMS = ("confusable_pairs", "corrected_t_stat", "corrected_t_test", "inflow", "model_views", "seed_aggregate", "significance", "sink_share", "top_receiver")
 
 
 @pytest.mark.parametrize("name", WITHOUT_PAIRS)
