@@ -232,6 +232,32 @@ def test_substring_on_odd_rows(spark, odd):
     assert op2_substring.substring_dedup(odd.limit(0)).count() == 0
 
 
+def test_substring_dedup_stores_no_runs(spark, sf_dir, monkeypatch):
+    """All runs used to be written and shuffled twice; what is written has one row a document that loses sentences."""
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.append(write(self, df, name)) or written[-1])
+    got = registry.queries()["op2_substring"](spark, sf_dir)
+    assert [x.count() for x in written] == [got.count()]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_later_runs_are_found_across_batches(size):
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    rows = [(rng.randrange(-3, 3), rng.randrange(2), rng.choice([None, -(1 << 62), 0, 1, (1 << 62) + 1]), rng.randrange(2), k := rng.randrange(3), k + 1) for _ in range(300)]
+    rows.sort(key=lambda r: (r[:2], r[2] is not None, r[2] or 0, r[3:]))
+    first, expected = {}, []
+    for h1, h2, i, th, a, b in rows:
+        least = first.setdefault((h1, h2), (i, th, a))
+        expected += [(i, th, a, b, least[0])] * (least != (i, th, a))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), schema.types, strict=True)], schema=schema) for i in range(0, len(rows), size)]
+    got = [tuple(r.values()) for x in op2_substring.later_batches([batches[0].slice(0, 0), *batches]) for r in x.to_pylist()]
+    assert got == expected and expected
+    assert list(op2_substring.later_batches([])) == []
+
+
 # ---------------------------------------------------------------- 3
 
 SECRETS = [

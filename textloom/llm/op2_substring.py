@@ -2,8 +2,8 @@
 
 From every sentence the shortest run of at least MIN_SENTENCES sentences and MIN_WORDS words is
 hashed, forwards and backwards, so a passage shared by two documents is covered to both its ends
-wherever it stands in them. All runs are joined globally by hash; every sentence covered by a run
-that occurs earlier in the corpus is removed.
+wherever it stands in them. All runs are brought together by hash, once; every sentence covered by a
+run that occurs earlier in the corpus is removed.
 
 A passage may start and end inside a sentence, and some texts have no sentence marks at all, so long
 sentences are cut into clauses, which are sentences to all that follows. Where they are cut is up to
@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,11 +160,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "substring")
     rows = keyed(docs, id_col, text_col, carry)
-    found = scratch.write(occurrences(rows, lambda text: spans_of(text, min_sentences, min_words)), "runs")
-    later = scratch.write(repeated_later(found, scratch), "later")
+    later = repeated_later(occurrences(rows, lambda text: spans_of(text, min_sentences, min_words))).repartition("id", "th")
     spans = later.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
     near, far = with_units(rows, scratch.write(spans, "spans"))
-    scratch.drop("runs")
 
     @F.pandas_udf("text string, n_sentences int, n_removed int")
     def cleaned(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -181,12 +180,31 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(same).select(*out.columns[:-1], *carried(carry))
 
 
-def repeated_later(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """The occurrences that are not the first of their run: id, th, a, b, first_id."""
-    counts = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "a")).alias("least"), F.count("*").alias("n"))
-    counts = scratch.write(counts.where("n > 1").select("h1", "h2", "least"), "repeated")
-    joined = found.join(counts, ["h1", "h2"]).where(~F.struct("id", "th", "a").eqNullSafe(F.col("least")))
-    return joined.select("id", "th", "a", "b", F.col("least.id").alias("first_id"))
+def later_batches(batches):
+    """h1, h2, id, th, a, b in order -> id, th, a, b, first_id of the occurrences that are not the first of their run."""
+    first = None  # occurrence of the last run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if first is None else [first, batch]).combine_chunks()
+        h1, h2, th, a = (rows.column(c).to_numpy() for c in ("h1", "h2", "th", "a"))
+        ids, known = rows.column("id").fill_null(0).to_numpy(), rows.column("id").is_valid().to_numpy()
+        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        least = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        other = np.flatnonzero((ids != ids[least]) | (known != known[least]) | (th != th[least]) | (a != a[least]))
+        out = rows.select(["id", "th", "a", "b"]).take(other).append_column("first_id", rows.column("id").take(least[other]))
+        yield from out.to_batches()
+        first = rows.slice(least[-1], 1).to_batches()[0]
+
+
+def repeated_later(found: DataFrame) -> DataFrame:
+    """The occurrences that are not the first of their run: id, th, a, b, first_id.
+
+    Each occurrence is shuffled once and never stored; a run's are read one after another, and
+    no more than the first of them is held, however many there are.
+    """
+    ordered = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "th", "a")
+    return ordered.mapInArrow(later_batches, "id long, th long, a int, b int, first_id long")
 
 
 def op2_substring(spark, sf_dir):
