@@ -232,12 +232,13 @@ def test_substring_on_odd_rows(spark, odd):
     assert op2_substring.substring_dedup(odd.limit(0)).count() == 0
 
 
-def test_substring_dedup_stores_no_runs(spark, sf_dir, monkeypatch):
-    """All runs used to be written and shuffled twice; what is written has one row a document that loses sentences."""
-    written, write = [], Scratch.write
-    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.append(write(self, df, name)) or written[-1])
+def test_substring_dedup_stores_no_runs(spark, sf_dir, docs, monkeypatch):
+    """All runs used to be written and shuffled twice; what is written are those that repeat an earlier one."""
+    written, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
     got = registry.queries()["op2_substring"](spark, sf_dir)
-    assert [x.count() for x in written] == [got.count()]
+    assert set(written) == {"later", "firsts", "spans"} and written["spans"].count() == got.count()
+    assert written["later"].where("kind <> 1").count() == sum(map(len, brute_spans(sorted((r.doc_id, r.text) for r in docs.collect())).values()))
 
 
 @pytest.mark.parametrize("size", [1, 2, 7, 1000])
@@ -245,19 +246,44 @@ def test_later_runs_are_found_across_batches(size):
     import pyarrow as pa
 
     rng = random.Random(size)
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-    rows = [(rng.randrange(-3, 3), rng.randrange(2), rng.choice([None, -(1 << 62), 0, 1, (1 << 62) + 1]), rng.randrange(2), k := rng.randrange(3), k + 1) for _ in range(300)]
-    rows.sort(key=lambda r: (r[:2], r[2] is not None, r[2] or 0, r[3:]))
+    names = ["h1", "h2", "part", "id", "th", "a", "b", "many"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    rows = [(rng.randrange(-3, 3), rng.randrange(2), max(0, rng.randrange(-2, 3)), rng.choice([None, -(1 << 62), 0, 1, (1 << 62) + 1]), rng.randrange(2), k := rng.randrange(3), k + 1) for _ in range(300)]
+    rows = [(*r, int(r[2] == 0 and rng.random() < 0.2)) for r in rows]
+    rows.sort(key=lambda r: (r[:3], r[3] is not None, r[3] or 0, r[4:]))
     first, expected = {}, []
-    for h1, h2, i, th, a, b in rows:
-        least = first.setdefault((h1, h2), (i, th, a))
-        expected += [(i, th, a, b, least[0])] * (least != (i, th, a))
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), schema.types, strict=True)], schema=schema) for i in range(0, len(rows), size)]
+    for h1, h2, part, i, th, a, b, many in rows:
+        least = first.setdefault((h1, h2, part), (i, th, a))
+        expected += [(0, i, th, a, b, least[0], None, None)] * (not part and least != (i, th, a))
+        expected += [(1, i, th, a, b, least[0], h1, h2)] * many + [(2, i, th, a, b, None, h1, h2)] * (part > 0)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), types, strict=True)], names=names) for i in range(0, len(rows), size)]
     got = [tuple(r.values()) for x in op2_substring.later_batches([batches[0].slice(0, 0), *batches]) for r in x.to_pylist()]
-    assert got == expected and expected
+    assert Counter(got) == Counter(expected) and {r[0] for r in got} == {0, 1, 2}
     assert list(op2_substring.later_batches([])) == []
 
 
+def test_a_run_that_occurs_often_is_dealt_over_tasks():
+    """All occurrences of a run used to meet in one task."""
+    ids, ths = ["10", "9", None, "9", "-3"], [5, 7, 1, 7, 2]
+    h1 = np.array([1, 1, 1, 1, 2] * 5, dtype=np.int64)
+    part, many = op2_substring.marks(ids, ths, [5] * 5, h1, np.zeros(25, np.int64), np.tile(np.arange(5), 5))
+    assert many.tolist() == [0] * 10 + [1] + [0] * 14  # the null id is the least
+    assert (part > 0).tolist() == [x == 1 and k != 10 for k, x in enumerate(h1.tolist())] and len(set(part[part > 0].tolist())) == 1
+    part, many = op2_substring.marks(ids[:2], ths[:2], [4, 4], np.ones(8, np.int64), np.zeros(8, np.int64), np.tile(np.arange(4), 2))
+    assert not part.any() and not many.any()
+
+
+def test_runs_dealt_over_tasks_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = [" ".join(sentence(rng, 13) for _ in range(4)) for _ in range(3)]
+    rows = [(None if i == 40 else 100 - i, f"{text_of(i, 2)}\n{passage[i % 3]}\n{text_of(100 + i % 7, 2)}\n{passage[i % 2]}") for i in range(60)]
+    docs_ = spark.createDataFrame(rows + rows[:9], "doc_id long, text string").coalesce(3)
+    one = sorted(op2_substring.substring_dedup(docs_).collect(), key=repr)
+    monkeypatch.setattr(op2_substring, "MANY", 10**6)
+    two = sorted(op2_substring.substring_dedup(docs_).collect(), key=repr)
+    assert one == two and sum(r.n_removed > 0 for r in one) > 50
+
+
 # ---------------------------------------------------------------- 3
 
 SECRETS = [

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, read
+from .common import Scratch, counted, give_back, read
 from .repeats import carried, keyed, occurrences, with_units
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
@@ -31,6 +31,8 @@ UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30F
 _END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n\s*")
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
 SLICE = 1 << 18  # characters hashed at once
+MANY = 8  # occurrences of a run in a worker's hands; of more, those that can't be the first are dealt over PARTS tasks
+PARTS = 1024
 
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +162,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "substring")
     rows = keyed(docs, id_col, text_col, carry)
-    later = repeated_later(occurrences(rows, lambda text: spans_of(text, min_sentences, min_words))).repartition("id", "th")
+    found = occurrences(rows, lambda text: spans_of(text, min_sentences, min_words), marks)
+    later = repeated_later(found, scratch).repartition("id", "th")
     spans = later.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
     near, far = with_units(rows, scratch.write(spans, "spans"))
 
@@ -180,31 +183,74 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.unionByName(same).select(*out.columns[:-1], *carried(carry))
 
 
+def marks(ids, ths, sizes: list[int], h1: np.ndarray, h2: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, many) of the occurrences in some documents.
+
+    Of a run that occurs more than MANY times here, all but the least occurrence are later ones for
+    certain: they get a part above 0, and the least one gets many = 1, as the others ask for its first.
+    """
+    part, many = np.zeros(len(h1), np.int32), np.zeros(len(h1), np.int32)
+    _, at, n = np.unique(h1, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(n[at] > MANY)
+    if len(some):
+        keys = [(i is not None, int(i or 0), th) for i, th in zip(ids, ths, strict=True)]
+        place = {k: x for x, k in enumerate(sorted(set(keys)))}
+        rank = np.repeat([place[k] for k in keys], sizes)
+        rows = some[np.lexsort((a[some], rank[some], h2[some], h1[some]))]
+        new = np.concatenate(([True], (np.diff(h1[rows]) != 0) | (np.diff(h2[rows]) != 0)))
+        group = np.cumsum(new) - 1
+        least, often = rows[new][group], np.bincount(group)[group] > MANY
+        first = (rank[rows] == rank[least]) & (a[rows] == a[least])
+        many[rows[often & first]] = 1
+        part[rows[often & ~first]] = 1 + int(np.bitwise_xor.reduce(np.array(ths, dtype=np.int64))) % PARTS
+    return part, many
+
+
+LATER, FIRST, DEALT = range(3)
+
+
 def later_batches(batches):
-    """h1, h2, id, th, a, b in order -> id, th, a, b, first_id of the occurrences that are not the first of their run."""
+    """h1, h2, part, id, th, a, b, many in order -> kind, id, th, a, b, first_id, h1, h2.
+
+    LATER: an occurrence that is not the first of its run. FIRST: the first one of a run that has
+    DEALT ones, which are later ones that have still to learn it.
+    """
     first = None  # occurrence of the last run
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch] if first is None else [first, batch]).combine_chunks()
-        h1, h2, th, a = (rows.column(c).to_numpy() for c in ("h1", "h2", "th", "a"))
+        h1, h2, part, th, a, many = (rows.column(c).to_numpy() for c in ("h1", "h2", "part", "th", "a", "many"))
         ids, known = rows.column("id").fill_null(0).to_numpy(), rows.column("id").is_valid().to_numpy()
-        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (part[1:] != part[:-1])))
         least = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        other = np.flatnonzero((ids != ids[least]) | (known != known[least]) | (th != th[least]) | (a != a[least]))
-        out = rows.select(["id", "th", "a", "b"]).take(other).append_column("first_id", rows.column("id").take(least[other]))
-        yield from out.to_batches()
+        other = (ids != ids[least]) | (known != known[least]) | (th != th[least]) | (a != a[least])
+        fresh = np.arange(len(new)) >= (first is not None)  # the row held has been dealt with
+        for kind, chosen in ((LATER, other & (part == 0)), (FIRST, (many > 0) & fresh), (DEALT, (part > 0) & fresh)):
+            if len(at := np.flatnonzero(chosen)):
+                own, key = rows.select(["id", "th", "a", "b"]).take(at).columns, rows.select(["h1", "h2"]).take(at).columns
+                if kind == LATER:
+                    key = [pa.nulls(len(at), pa.int64())] * 2
+                first_id = pa.nulls(len(at), pa.int64()) if kind == DEALT else rows.column("id").take(least[at])
+                table = pa.table([pa.array(np.full(len(at), kind, np.int32)), *own, first_id, *key], names=["kind", "id", "th", "a", "b", "first_id", "h1", "h2"])
+                yield from table.to_batches()
         first = rows.slice(least[-1], 1).to_batches()[0]
 
 
-def repeated_later(found: DataFrame) -> DataFrame:
+def repeated_later(found: DataFrame, scratch: Scratch) -> DataFrame:
     """The occurrences that are not the first of their run: id, th, a, b, first_id.
 
-    Each occurrence is shuffled once and never stored; a run's are read one after another, and
-    no more than the first of them is held, however many there are.
+    Each occurrence is shuffled once and not stored; a run's are read one after another, and no
+    more than the first of them is held. A run that occurs often is dealt over many tasks.
     """
-    ordered = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "th", "a")
-    return ordered.mapInArrow(later_batches, "id long, th long, a int, b int, first_id long")
+    ordered = found.repartition("h1", "h2", "part").sortWithinPartitions("h1", "h2", "part", "id", "th", "a")
+    kinds = ordered.mapInArrow(later_batches, "kind int, id long, th long, a int, b int, first_id long, h1 long, h2 long")
+    kinds = scratch.write(kinds, "later")
+    of = lambda kind: kinds.where(F.col("kind") == kind)
+    columns = ["id", "th", "a", "b", "first_id"]
+    firsts = scratch.write(of(FIRST).groupBy("h1", "h2").agg(F.min("first_id").alias("first_id")), "firsts")
+    dealt = of(DEALT).drop("first_id").join(counted(firsts), ["h1", "h2"])
+    return of(LATER).select(*columns).unionByName(dealt.select(*columns))
 
 
 def op2_substring(spark, sf_dir):
