@@ -480,6 +480,13 @@ def test_contamination_on_odd_rows(spark, odd):
         assert op4_decontaminate.contamination(odd, items.limit(0), index_bytes=size).count() == 0
 
 
+def test_a_benchmark_without_tokens_is_found_nowhere(spark):
+    docs_ = spark.createDataFrame([(1, "one two three"), (2, "-- ..")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "-- .."), (2, None), (3, "")], "item_id long, text string")
+    for size in (0, 1 << 30):
+        assert op4_decontaminate.contamination(docs_, items, index_bytes=size).count() == 0
+
+
 # ---------------------------------------------------------------- 5
 
 

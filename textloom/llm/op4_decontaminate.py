@@ -75,9 +75,9 @@ def item_seeds(words: np.ndarray, mask: str, only: int | None) -> tuple[np.ndarr
 
 
 def index_of(items: list[tuple[object, np.ndarray]]) -> dict:
-    """The seeds of the items: by mask, sorted hashes with item and position."""
+    """The seeds of the items: by mask, sorted hashes with item and position; none without items."""
     words, out = [w for _, w in items], []
-    for mask, only in masks_of([len(w) for w in words]):
+    for mask, only in masks_of([len(w) for w in words]) if words else []:
         found = [(*item_seeds(w, mask, only), k) for k, w in enumerate(words)]
         h = np.concatenate([x for x, _, _ in found])
         if len(h):
